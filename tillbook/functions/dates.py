@@ -53,8 +53,7 @@ def usage_window(as_of: dt.date, days: int = 7) -> tuple[dt.date, dt.date]:
 
 def iso_date(text: ColumnOrName) -> Column:
     """Strict ``yyyy-MM-dd``; anything else, and days that do not exist, give NULL."""
-    raw = col(text)
-    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")).cast("date"))
+    return F.try_to_timestamp(col(text), F.lit("yyyy-MM-dd")).cast("date")
 
 
 # The three date spellings a session date may have.
@@ -67,13 +66,10 @@ def normalise_date(text: ColumnOrName) -> Column:
     Days 29 to 31 that the month lacks move back to its last day (2025-02-30 becomes
     2025-02-28), as a lenient calendar resolver does.
     """
-    raw = F.trim(text)
-    year = F.regexp_extract(raw, SESSION_DATE_PATTERN, 1)
-    month = F.concat(*[F.regexp_extract(raw, SESSION_DATE_PATTERN, i) for i in (2, 3, 4)])
-    day = F.regexp_extract(raw, SESSION_DATE_PATTERN, 5).try_cast("int")
-    first = F.try_to_timestamp(F.concat_ws("-", year, month, F.lit("01")), F.lit("yyyy-MM-dd")).cast("date")
-    real = (year != "0000") & day.between(1, 31)
-    return F.when(real, F.least(F.date_add(first, day - 1), F.last_day(first)))
+    iso = F.regexp_replace(F.trim(text), SESSION_DATE_PATTERN, "$1-$2$3$4-$5")
+    first_of_month = F.regexp_replace(iso, r"^(\d{4}-\d{2})-(29|30|31)$", "$1-01")
+    day = F.coalesce(iso_date(iso), F.last_day(iso_date(first_of_month)))
+    return F.when(F.year(day) > 0, day)
 
 
 def parse_feed_timestamp(text: ColumnOrName) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.labels import label_price, total_label, trimmed
+from tillbook.functions.labels import label_price, total_label
 from tillbook.functions.numbers import sum_if
 from tillbook.functions.predicates import is_rotation_cashier, non_empty_orders
 from tillbook.operators.sequence import number_rows
@@ -35,7 +35,7 @@ def customise(lines: DataFrame) -> DataFrame:
     price = F.col("base") + F.lit(EXTRA_PRICE).cast(MONEY) * n_extras
     return lines.select(
         "*",
-        trimmed(F.concat(F.col("name"), F.lit(" ["), *parts, F.lit("]"))).alias("description"),
+        F.concat(F.ltrim("name"), F.lit(" ["), *parts, F.lit("]")).alias("description"),
         price.cast(MONEY).alias("price"),
     )
 

@@ -8,12 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillbook.schemas import MONEY, QUANTITY
 
 
+_KNOWN_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A raw table. Its file footers are read for the schema the first time only."""
+    path = f"{folder}/{table}.parquet"
+    if path not in _KNOWN_SCHEMAS:
+        _KNOWN_SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +90,7 @@ def line_id() -> Column:
     """Line key from the columns that tell lines of one order apart; no row needs another."""
     return F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.col("l_quantity").cast("int").cast("string"), F.date_format("l_shipdate", "yyyyMMdd"),
+        F.col("l_quantity").cast("int"), F.unix_date(F.to_date("l_shipdate")),
     )
 
 

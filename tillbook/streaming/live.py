@@ -91,7 +91,8 @@ def start_intake(
 ) -> StreamingQuery:
     """Number the carts of a stream as orders that follow ``orders``.
 
-    Micro-batch ``n`` goes to ``path/orders/batch=n``; the next free id and the number of orders
+    Micro-batch ``n`` is first written as received, so that the stream's state is read once,
+    and then numbered to ``path/orders/batch=n``. The next free id and the number of orders
     after it go to ``path/counters/batch=n``. A micro-batch that runs again starts from the same
     counters and replaces its own output, so ids stay dense and unique.
     """
@@ -100,18 +101,21 @@ def start_intake(
     n_before, largest = orders.agg(F.count("*"), F.max("orderID")).first()
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        folder = f"batch={batch_id}"
         if batch_id == 0:
             first_id, n_existing = (largest or 0) + 1, n_before
         else:
             first_id, n_existing = spark.read.parquet(f"{path}/counters/batch={batch_id - 1}").first()
-        target = f"{path}/orders/batch={batch_id}"
-        numbered = number_orders(non_empty_orders(batch), cashiers, first_id, n_existing, location)
-        numbered.write.mode("overwrite").parquet(target)
-        added = spark.read.parquet(target).count()
+        non_empty_orders(batch).write.mode("overwrite").parquet(f"{path}/received/{folder}")
+        received = spark.read.parquet(f"{path}/received/{folder}")
+        added = received.count()
+        if added:
+            numbered = number_orders(received, cashiers, first_id, n_existing, location)
+            numbered.write.mode("overwrite").parquet(f"{path}/orders/{folder}")
         counters = spark.createDataFrame(
             [(first_id + added, n_existing + added)], "next_id bigint, n_orders bigint"
         )
-        counters.write.mode("overwrite").parquet(f"{path}/counters/batch={batch_id}")
+        counters.write.mode("overwrite").parquet(f"{path}/counters/{folder}")
 
     return (
         distinct_carts(carts, lateness)

@@ -121,8 +121,8 @@ _STATS = """
 
 _APPENDED = """
     select numbered.id as orderID, r.employeeID, {location}, orderDate, cast(total as double) as orderTotal
-    from (select *, (select max(orderID) from pos_orders) + row_number() over (order by orderDate, order_id) as id,
-                 ((select count(*) from pos_orders) + row_number() over (order by orderDate, order_id) - 1)
+    from (select *, (select max(orderID) from pos_orders) + row_number() over (order by orderDate, order_id, total) as id,
+                 ((select count(*) from pos_orders) + row_number() over (order by orderDate, order_id, total) - 1)
                      % (select count(*) from pos_rotation) as my_turn
           from {carts}) numbered
     join pos_rotation r on r.turn = numbered.my_turn"""
@@ -187,10 +187,10 @@ QUERIES: dict[str, str] = {
         from pos_orders group by 1""",
     "q13_largest_orders": """
         select orderID as orderid, orderDate as orderdate, cast(round(orderTotal, 2) as double) as ordertotal
-        from pos_orders order by pos_orders.orderTotal desc, orderID limit 10""",
+        from pos_orders order by pos_orders.orderTotal desc, orderID, orderDate limit 10""",
     "q13_largest_orders_demo": """
         select orderID as orderid, orderDate as orderdate, cast(round(orderTotal, 2) as double) as ordertotal
-        from pos_orders order by pos_orders.orderTotal desc, orderID limit 5""",
+        from pos_orders order by pos_orders.orderTotal desc, orderID, orderDate limit 5""",
     "q14_addon_revenue": """
         select inventoryName, cast(sum(cost * modificationQuantity) as double) as total_revenue_from_addon
         from pos_mods join pos_inventory using (inventoryID) group by 1""",
@@ -201,7 +201,7 @@ QUERIES: dict[str, str] = {
         select o.orderID, orderDate, cast(sum(quantityPurchased * priceAtPurchase) as double) as order_revenue,
                count(orderItemID) as num_items
         from pos_orders o join pos_lines l on o.orderID = l.orderID group by 1, 2
-        order by sum(quantityPurchased * priceAtPurchase) desc, 1 limit 5""",
+        order by sum(quantityPurchased * priceAtPurchase) desc, 1, 2 limit 5""",
     "q17_avg_items_by_employee": f"""
         , item_counts as (
             select orderID, sum(quantityPurchased) as total_items from pos_lines group by 1)
@@ -217,7 +217,7 @@ QUERIES: dict[str, str] = {
     "r02_order_history": """
         select orderID as "Order ID", employeeID as "Employee ID", orderLocation as "Location",
                orderDate as "Date", cast(orderTotal as double) as "Total ($)"
-        from pos_located order by orderDate desc, orderID limit 40""",
+        from pos_located order by orderDate desc, orderID, employeeID, orderTotal limit 40""",
     "r03_employee_view": """
         select employeeID as "ID", employeeName as "Name", employeePosition as "Position" from pos_employee""",
     "r04_menu_view": """
@@ -419,12 +419,12 @@ QUERIES: dict[str, str] = {
         select cast(orderID as varchar) as orderID, cast(employeeID as varchar) as employeeID,
                cast(orderTotal as varchar) as orderTotal from pos_ticks""",
     "w01_upsert_menu": """
-        select menuID, if(menuImage % 2 = 0, upper(menuName), menuName) as menuName, category,
+        select menuID, if(menuImage % 2 = 0, 'new ' || menuName, menuName) as menuName, category,
                cast(if(menuImage % 2 = 0, price + 1, price) as double) as price, menuImage, menuDescription,
                seasonalStart, seasonalEnd
         from pos_menu
         union all
-        select menuID, upper(menuName), category, cast(price + 1 as double), menuImage, menuDescription,
+        select menuID, 'new ' || menuName, category, cast(price + 1 as double), menuImage, menuDescription,
                seasonalStart, seasonalEnd
         from pos_new_menu where menuImage % 2 <> 0""",
     "w02_insert_employees": """
@@ -439,7 +439,7 @@ QUERIES: dict[str, str] = {
                if(menuImage % 2 = 0, timestamp '2024-12-31', seasonalEnd)
         from pos_new_menu""",
     "w04_update_menu": """
-        select menuID, if(menuImage % 2 = 0, upper(menuName), menuName) as menuName,
+        select menuID, if(menuImage % 2 = 0, 'new ' || menuName, menuName) as menuName,
                if(menuImage % 2 = 0, 'NEW ' || category, category) as category,
                cast(if(menuImage % 2 = 0, price * 2, price) as double) as price, menuImage, menuDescription,
                seasonalStart, seasonalEnd

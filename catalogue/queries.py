@@ -600,7 +600,7 @@ def w01_upsert_menu(spark, d):
     replaces = F.col("menuImage") % 2 == 0
     staged = star.menu(spark, d).select(
         F.when(replaces, F.col("menuID")).otherwise(-F.col("menuID") - 1).alias("menuID"),
-        F.upper("menuName").alias("menuName"),
+        F.concat(F.lit("new "), F.col("menuName")).alias("menuName"),
         "category",
         (F.col("price") + 1).cast(MONEY).alias("price"),
         "menuImage", "menuDescription", "seasonalStart", "seasonalEnd",
@@ -636,7 +636,7 @@ def w04_update_menu(spark, d):
     known = F.col("menuImage") % 2 == 0
     changes = star.menu(spark, d).select(
         F.when(known, F.col("menuID")).otherwise(-F.col("menuID") - 1).alias("menuID"),
-        F.upper("menuName").alias("menuName"),
+        F.concat(F.lit("new "), F.col("menuName")).alias("menuName"),
         F.concat(F.lit("NEW "), F.col("category")).alias("category"),
         (F.col("price") * 2).cast(MONEY).alias("price"),
     )

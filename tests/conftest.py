@@ -1,0 +1,103 @@
+import datetime as dt
+import sys
+from decimal import Decimal
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from pyspark.sql import SparkSession  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[4]")
+        .appName("tests")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.driver.host", "127.0.0.1")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def conf(spark):
+    """Set Spark options for one test."""
+    changed = {}
+
+    def set_options(**options):
+        for key, value in options.items():
+            key = key.replace("__", ".")
+            changed.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield set_options
+    for key, value in changed.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def rows(df):
+    return [tuple(row) for row in df.collect()]
+
+
+def at(text):
+    return dt.datetime.fromisoformat(text)
+
+
+def money(text):
+    return Decimal(text)
+
+
+@pytest.fixture(scope="session")
+def shop(spark):
+    """A small invented shop. Two menu items share a name; order 5 has no lines."""
+    from tillbook.schemas import SCHEMAS
+
+    data = {
+        "menu": [
+            (0, "Mint Tea", "Fresh Brew", money("4.00"), 0, "green", None, None),
+            (1, "Plum Fizz", "Fruity Beverage", money("5.50"), 1, "red", at("2025-11-01"), at("2025-02-28")),
+            (2, "Mint Tea", "Fresh Brew", money("4.50"), 2, "large", at("2025-03-01"), at("2025-05-31")),
+        ],
+        "employee": [
+            (1, "Ada", "Manager", "1111"), (2, "Bo", "Cashier", "2222"), (3, "Cy", "Cashier", "3333"),
+        ],
+        "ordertest": [
+            (1, 2, "Main St", at("2025-06-23T09:15:00"), money("9.50")),
+            (2, 3, "Main St", at("2025-06-23T09:45:00"), money("-4.00")),
+            (3, 2, "Main St", at("2025-06-23T17:00:00"), money("0.00")),
+            (4, 3, "Dock", at("2025-06-24T00:00:00"), money("11.00")),
+            (5, 3, "Nowhere", at("2025-06-25T23:59:59"), money("7.00")),
+        ],
+        "orderItem": [
+            (10, 0, money("4.00"), money("1"), 1, 0),
+            (11, 1, money("5.50"), money("1"), 1, 1),
+            (12, 0, money("4.00"), money("1"), 2, -1),
+            (13, 1, money("11.00"), money("2"), 4, 0),
+            (14, 2, money("9.00"), money("2"), 4, 0),
+        ],
+        "inventory": [
+            (1, "Mint", money("5.00"), money("1"), money("1"), 3, "oz", "None", 5),
+            (2, "Plum", money("9.00"), money("2"), money("1"), 0, "each", None, 4),
+            (3, "Mint", money("1.00"), money("1"), money("1"), -2, "oz", "None", 1),
+        ],
+        "locationTable": [(0, "Main St", "1 Main St", "555"), (1, "Dock", "2 Dock", "556")],
+        "modification": [
+            (100, 1, 10, money("2"), money("0.25")),
+            (101, 2, 10, money("1"), money("1.00")),
+            (102, 1, 13, money("1"), money("0.25")),
+        ],
+        "menuInfo": [
+            (1, 1, 0, money("3.00")), (2, 2, 1, money("1.50")), (3, 3, 2, money("4.00")), (4, 1, 1, money("0.25")),
+        ],
+    }
+    return {name: spark.createDataFrame(values, SCHEMAS[name]) for name, values in data.items()}

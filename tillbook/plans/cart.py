@@ -92,7 +92,7 @@ def number_orders(
 ) -> DataFrame:
     """Orders from carts (``order_id``, ``orderDate``, ``total``), oldest first: dense ids
     from ``first_id`` and cashiers in turn after ``n_existing`` earlier orders."""
-    numbered = number_rows(new.select("order_id", "orderDate", "total"), ["orderDate", "order_id"])
+    numbered = number_rows(new.select("order_id", "orderDate", "total"), ["orderDate", "order_id", "total"])
     return assign_round_robin(numbered, cashiers, n_existing).select(
         (F.col("seq") + F.lit(first_id)).alias("orderID"),
         "employeeID",

@@ -53,7 +53,7 @@ def inventory_view(inventory: DataFrame) -> DataFrame:
 def order_history(orders: DataFrame, k: int = 40) -> DataFrame:
     """The latest ``k`` orders."""
     columns = ["orderID", "employeeID", "orderLocation", "orderDate", "orderTotal"]
-    return top_k(orders.select(*columns), "orderDate", k, ["orderID"]).select(
+    return top_k(orders.select(*columns), "orderDate", k, ["orderID", "employeeID", "orderTotal"]).select(
         F.col("orderID").alias("Order ID"),
         F.col("employeeID").alias("Employee ID"),
         F.col("orderLocation").alias("Location"),

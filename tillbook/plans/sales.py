@@ -100,16 +100,19 @@ def _mods_by_line(mods: DataFrame) -> DataFrame:
 def mods_per_line(lines: DataFrame, mods: DataFrame, menu: DataFrame) -> DataFrame:
     """Number and cost of the modifications of each modified line.
 
-    ``orderItemID`` and ``menuID`` are primary keys, so a line stays one row after its
-    modifications have been added up.
+    Modifications are added up per line before the join. The last grouping merges lines that
+    repeat a key, as far as there are any; their rows already share a partition unless the
+    menu had to be shuffled in.
     """
     joined = (
         _mods_by_line(mods)
         .join(lines.select("orderItemID", "menuID"), "orderItemID")
         .join(menu.select("menuID", "menuName"), "menuID")
-        .select("orderItemID", "menuName", "totalModifications", "extraCost")
     )
-    return order_desc(joined, "totalModifications", "orderItemID")
+    per_line = joined.groupBy("orderItemID", "menuName").agg(
+        F.sum("totalModifications").alias("totalModifications"), F.sum("extraCost").alias("extraCost")
+    )
+    return order_desc(per_line, "totalModifications", "orderItemID", "menuName")
 
 
 def quantity_by_item(lines: DataFrame, menu: DataFrame) -> DataFrame:
@@ -164,7 +167,7 @@ def sales_by_weekday(orders: DataFrame) -> DataFrame:
 
 def largest_orders(orders: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` largest orders, chosen by the exact total and shown rounded."""
-    top = top_k(orders.select("orderID", "orderDate", "orderTotal"), "orderTotal", k, ["orderID"])
+    top = top_k(orders.select("orderID", "orderDate", "orderTotal"), "orderTotal", k, ["orderID", "orderDate"])
     return top.select(
         F.col("orderID").alias("orderid"),
         F.col("orderDate").alias("orderdate"),
@@ -193,8 +196,12 @@ def top_orders_by_lines(orders: DataFrame, lines: DataFrame, k: int = 5) -> Data
     per_order = lines.groupBy("orderID").agg(
         line_revenue().alias("order_revenue"), F.count("orderItemID").alias("num_items")
     )
-    priced = orders_with_lines(orders.select("orderID", "orderDate"), per_order)
-    return top_k(priced, "order_revenue", k, ["orderID"])
+    joined = orders_with_lines(orders.select("orderID", "orderDate"), per_order)
+    # Orders that repeat an id and a date count as one; no further shuffle is needed for it.
+    priced = joined.groupBy("orderID", "orderDate").agg(
+        F.sum("order_revenue").alias("order_revenue"), F.sum("num_items").alias("num_items")
+    )
+    return top_k(priced, "order_revenue", k, ["orderID", "orderDate"])
 
 
 def avg_items_by_employee(orders: DataFrame, lines: DataFrame, employee: DataFrame) -> DataFrame:

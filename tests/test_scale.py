@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tests.conftest import rows
+from tillbook.operators import joins, mutations
 from tillbook.operators.sequence import number_rows
 from tillbook.plans import audit, reports, sales
 from tillbook.sources import star
@@ -91,7 +92,7 @@ def test_row_level_join_splits_a_hot_key(spark, shuffled, tmp_path):
     assert "SortMergeJoin(skew=true)" in plan_of(joined)
     assert joined.count() == 30000
     attempts = spark.read.parquet(path).select(
-        F.col("orderID").alias("attempt_id"), F.lit("Cashier").alias("role"),
+        F.col("orderID").alias("attempt_id"), F.when(F.col("orderID") >= 0, "Cashier").alias("role"),
         F.col("employeeID").cast("string").alias("passcode"),
     )
     checked = audit.login_audit(attempts, staff(spark))
@@ -100,6 +101,47 @@ def test_row_level_join_splits_a_hot_key(spark, shuffled, tmp_path):
     assert checked.where("granted").count() == 30000
 
 
+def test_hot_recipe_and_hot_name_are_spread(spark, shuffled, conf, tmp_path):
+    """A third of the recipe rows belong to one menu item, a third of the stock has one name."""
+    conf(
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__adaptive__skewJoin__enabled="false",
+        spark__sql__shuffle__partitions="64",
+    )
+    n = 9000
+    hot = F.col("id") % 3 == 0
+    recipe = spark.range(n).select(
+        F.when(hot, 0).otherwise(F.col("id") % 500 + 1).alias("menuID"),
+        F.col("id").alias("inventoryID"),
+        F.lit(2).cast("decimal(18,2)").alias("menuInfoQuantity"),
+    )
+    stock = spark.range(n).select(
+        F.col("id").alias("inventoryID"),
+        F.when(hot, "Ice").otherwise(F.concat(F.lit("I"), F.col("id").cast("string"))).alias("inventoryName"),
+        F.lit("oz").alias("unit"),
+        F.lit(1).cast("decimal(18,2)").alias("quantityAvailable"),
+    )
+    for name, table in (("recipe", recipe), ("stock", stock)):
+        table.repartition(8).write.parquet(str(tmp_path / name))
+    recipe, stock = (spark.read.parquet(str(tmp_path / name)) for name in ("recipe", "stock"))
+    lines = spark.range(501).select(
+        F.col("id").alias("menuID"), F.lit(3).cast("decimal(18,2)").alias("quantityPurchased")
+    )
+    used = joins.recipe_with_sales(recipe, lines)
+    assert rows(used.agg(F.count("*"), F.sum(F.col("quantitySold") * F.col("menuInfoQuantity")))) == [(n, 6 * n)]
+    raised = mutations.apply_restock(stock, spark.createDataFrame([("Ice", 5)], "inventoryName string, addAmount int"))
+    assert rows(raised.agg(F.count("*"), F.sum("quantityAvailable"))) == [(n, n + 5 * n // 3)]
+    for result in (used, raised):
+        result.collect()
+        plan = plan_of(result)
+        assert "_salt" in plan and largest_task(result) < n / 6
+
+
+def largest_task(df):
+    """Rows of the largest partition of a result."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
 def test_reports_aggregate_before_they_join(spark, shuffled):
     """The join input is an aggregate, so the hot employee is one row in it."""
     plan = plan_of(sales.revenue_by_employee(hot_orders(spark), staff(spark)))

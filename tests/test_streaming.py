@@ -54,7 +54,15 @@ def test_live_hours_equal_the_x_report(spark, shop, tmp_path):
     assert [(f"{hour:%H:00}", total) for hour, total in day] == expected
 
 
-def test_streams_need_utc(spark, shop, conf):
-    conf(spark__sql__session__timeZone="America/New_York")
-    with pytest.raises(ValueError):
-        live.live_day_totals(shop["ordertest"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_streams_do_not_depend_on_the_session_zone(spark, shop, tmp_path, conf, zone):
+    conf(spark__sql__session__timeZone=zone)
+    times = [at("2025-03-09T02:30:00.123456"), at("2025-11-02T01:30:00"), at("1969-12-31T23:59:59.5")]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    assert [r[0] for r in rows(df.select(live.as_local(live.as_instant("t"))))] == times
+    report = live.live_day_totals(order_stream(spark, shop, str(tmp_path / "in")))
+    live.start_report(report, "update", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    days = live.latest_rows(spark, str(tmp_path / "out"), "day")
+    assert sorted(rows(days.select("day", "totalOrders"))) == [
+        (dt.date(2025, 6, 23), 3), (dt.date(2025, 6, 24), 1), (dt.date(2025, 6, 25), 1),
+    ]

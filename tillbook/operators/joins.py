@@ -4,7 +4,8 @@ No join carries a broadcast hint. Spark broadcasts a side only when its measured
 under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both otherwise; adaptive
 execution then splits a shuffle partition that one hot key has filled. Reports that
 aggregate do so before they join (:func:`aggregate_by_attribute`), so a hot key is
-one row by the time it is shuffled.
+one row by the time it is shuffled. Adaptive execution does not split a join whose other side
+is an aggregate on the same key; those joins use :func:`spread_join`.
 """
 
 from __future__ import annotations
@@ -33,6 +34,24 @@ def aggregate_by_attribute(
     return joined.groupBy(*by).agg(*[F.sum(name).alias(name) for name in measures])
 
 
+# Tasks that share the rows of one key in a spread join.
+SPREAD = 8
+
+
+def spread_join(
+    many: DataFrame, single: DataFrame, on: Sequence[str], spread: str, how: str = "inner", tasks: int = SPREAD
+) -> DataFrame:
+    """Join rows (inner or left) to a side that has one row per key, such as an aggregate.
+
+    The rows of every key are spread over ``tasks`` tasks by the column ``spread``, and the
+    single side, which is the smaller one, is repeated that often. A task that still gets
+    too much can be split further by adaptive execution.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(tasks)).cast("int"))
+    repeated = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def with_employee(orders: DataFrame, employee: DataFrame) -> DataFrame:
     return orders.join(employee, "employeeID")
 
@@ -92,10 +111,14 @@ def used_ingredients(
     Sold quantities are summed per menu item before the recipe fans them out, so the result
     has one row per recipe row, however many lines were sold.
     """
-    sold = sold_lines(lines, orders).groupBy("menuID").agg(
-        F.sum("quantityPurchased").alias("quantitySold")
-    )
-    return sold.join(recipe, "menuID").join(inventory, "inventoryID")
+    return recipe_with_sales(recipe, sold_lines(lines, orders)).join(inventory, "inventoryID")
+
+
+def recipe_with_sales(recipe: DataFrame, sold: DataFrame) -> DataFrame:
+    """Recipe rows of the items sold, with the item's total ``quantitySold``. The rows of an
+    item with a very long recipe are spread over several tasks."""
+    per_item = sold.groupBy("menuID").agg(F.sum("quantityPurchased").alias("quantitySold"))
+    return spread_join(recipe, per_item, ["menuID"], spread="inventoryID")
 
 
 def on_same_day(orders: DataFrame, days: DataFrame, day: str = "sale_day") -> DataFrame:

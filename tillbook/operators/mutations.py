@@ -16,6 +16,7 @@ from tillbook.functions.columns import col
 from tillbook.functions.dates import date_literal, iso_date
 from tillbook.functions.numbers import to_int, to_money
 from tillbook.operators.constraints import require_none, require_unique
+from tillbook.operators.joins import spread_join
 
 
 def upsert(target: DataFrame, staging: DataFrame, key: str) -> DataFrame:
@@ -108,12 +109,13 @@ def update_by_key(table: DataFrame, changes: DataFrame, key: str, columns: Seque
 def apply_restock(inventory: DataFrame, deltas: DataFrame) -> DataFrame:
     """Add each delta's ``addAmount`` to every item of its ``inventoryName``.
 
-    Amounts are whole numbers and may be negative; names not in stock do nothing.
+    Amounts are whole numbers and may be negative; names not in stock do nothing. Items that
+    share a name are spread over several tasks.
     """
     per_name = deltas.groupBy("inventoryName").agg(F.sum("addAmount").alias("_delta"))
     kind = inventory.schema["quantityAvailable"].dataType
     raised = F.col("quantityAvailable") + F.coalesce("_delta", F.lit(0))
-    joined = inventory.join(per_name, "inventoryName", "left")
+    joined = spread_join(inventory, per_name, ["inventoryName"], spread="inventoryID", how="left")
     return joined.withColumn("quantityAvailable", raised.cast(kind)).select(*inventory.columns)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.dates import hour_of
 from tillbook.functions.labels import hour_label, items_label, money_label, unit_label
-from tillbook.functions.numbers import count_if, first_last, round2, sum0, sum_if
+from tillbook.functions.numbers import count_if, first_last, round2, sum0, sum_if, sum_product
 from tillbook.functions.predicates import (
     ONE_DAY,
     check_range,
@@ -26,7 +26,7 @@ from tillbook.functions.predicates import (
     needs_restock,
     on_day,
 )
-from tillbook.operators.joins import aggregate_by_attribute, sold_lines
+from tillbook.operators.joins import aggregate_by_attribute, recipe_with_sales, sold_lines
 from tillbook.operators.ordering import order_asc, order_desc, top_k
 from tillbook.plans.sales import line_revenue
 from tillbook.schemas import MONEY
@@ -182,10 +182,9 @@ def ingredient_usage(
     """
     check_range(start, end, ordered=True)
     in_range = orders.where(in_closed_range("orderDate", start, end))
-    sold = sold_lines(lines, in_range).groupBy("menuID").agg(F.sum("quantityPurchased").alias("_sold"))
     used = aggregate_by_attribute(
-        sold.join(recipe, "menuID"), inventory, "inventoryID", ["inventoryName", "unit"],
-        {"totalUsed": F.sum(F.col("menuInfoQuantity") * F.col("_sold"))},
+        recipe_with_sales(recipe, sold_lines(lines, in_range)), inventory, "inventoryID", ["inventoryName", "unit"],
+        {"totalUsed": sum_product("menuInfoQuantity", "quantitySold")},
     )
     shown = used.select(
         F.col("inventoryName").alias("ingredient"),

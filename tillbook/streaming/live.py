@@ -4,32 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tillbook.functions.columns import ColumnOrName, col
 from tillbook.functions.numbers import sum0
 from tillbook.functions.predicates import non_empty_orders
 from tillbook.plans.cart import LOCATION, ROTATION_IDS, number_orders, rotation_cashiers
 
 
-def with_event_time(orders: DataFrame, lateness: str) -> DataFrame:
-    """Add a watermarked ``event_time``. Watermarks need a zoned timestamp, and hours and
-    days must start where those of the zone-free order time do, hence the session must be in UTC."""
-    zone = orders.sparkSession.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-        raise ValueError(f"streams need spark.sql.session.timeZone UTC, not {zone}")
-    return orders.withColumn("event_time", F.col("orderDate").cast("timestamp")).withWatermark(
-        "event_time", lateness
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def as_instant(ts: ColumnOrName) -> Column:
+    """A zone-free time as the instant that shows it in UTC, whatever the session zone."""
+    time = col(ts)
+    day_seconds = F.hour(time) * 3600 + F.minute(time) * 60
+    micros = (F.date_part(F.lit("SECONDS"), time) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(
+        (F.unix_date(F.to_date(time)).cast("bigint") * 86_400 + day_seconds) * 1_000_000 + micros
     )
 
 
+def as_local(instant: ColumnOrName) -> Column:
+    """The reverse of :func:`as_instant`."""
+    seconds = (F.unix_micros(col(instant)) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    return F.lit(_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def with_event_time(orders: DataFrame, lateness: str) -> DataFrame:
+    """Add a watermarked ``event_time``. Watermarks need an instant, order times have no zone;
+    hours and days of the instants start where those of the order times do."""
+    return orders.withColumn("event_time", as_instant("orderDate")).withWatermark("event_time", lateness)
+
+
 def live_hourly_sales(orders: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Sales and orders per hour. An hour's orders are combined in the map tasks first, so the
     current hour is no hot spot."""
     hours = with_event_time(orders, lateness).groupBy(F.window("event_time", "1 hour").alias("span"))
     return hours.agg(F.sum("orderTotal").alias("totalSales"), F.count("*").alias("totalOrders")).select(
-        F.col("span.start").cast("timestamp_ntz").alias("hourStart"), "totalSales", "totalOrders"
+        as_local("span.start").alias("hourStart"), "totalSales", "totalOrders"
     )
 
 
@@ -42,7 +57,7 @@ def live_day_totals(orders: DataFrame, lateness: str = "1 hour") -> DataFrame:
         F.min("orderDate").alias("firstOrder"),
         F.max("orderDate").alias("lastOrder"),
     ).select(
-        F.col("span.start").cast("date").alias("day"),
+        F.to_date(as_local("span.start")).alias("day"),
         "totalSales", "totalOrders", "firstOrder", "lastOrder",
     )
 

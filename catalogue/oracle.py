@@ -381,7 +381,8 @@ QUERIES: dict[str, str] = {
                cast(orderDate as date) as day, rpad(dayname(orderDate), 9, ' ') as weekday,
                strftime(orderDate, '%d ') || rpad(monthname(orderDate), 9, ' ') as day_month,
                cast(cast(orderDate as date) - interval 7 day as date) as week_before,
-               cast(month(orderDate) * 100 + day(orderDate) as int) as month_day
+               cast(month(orderDate) * 100 + day(orderDate) as int) as month_day,
+               if(orderTotal <> 0, strftime(orderDate, '%Y-%m-%d %H:%M:00.0'), 'None') as minute_label
         from pos_ticks""",
     "x08_money_labels": """
         select orderID, format('${:,.2f}', cast(orderTotal as double)) as money,

@@ -477,6 +477,8 @@ def x01_time_parts(spark, d):
         labels.day_month_label(dates.day_of(ts)).alias("day_month"),
         dates.add_days(dates.day_of(ts), -7).alias("week_before"),
         dates.month_day(ts).alias("month_day"),
+        labels.time_label(F.when(F.col("orderTotal") != 0, F.date_trunc("minute", ts).cast("timestamp_ntz")))
+        .alias("minute_label"),
     )
 
 

@@ -123,6 +123,9 @@ def test_labels(spark):
     ]
     assert values(spark, labels.money_label("v"), [0.125, 0.375], "double") == ["$0.13", "$0.38"]
     assert values(spark, labels.hour_label("v"), [7, 21], "int") == ["07:00", "21:00"]
+    assert values(spark, labels.time_label("v"), [at("2025-06-23T09:15:00"), at("2025-06-23T09:15:00.25"), None], "timestamp_ntz") == [
+        "2025-06-23 09:15:00.0", "2025-06-23 09:15:00.25", "None",
+    ]
     assert values(spark, labels.items_label("v"), [12], "bigint") == ["Discards: 12 items"]
     assert values(spark, labels.total_label("v"), [money("12.5")], "decimal(18,2)") == ["Total: $12.50"]
     assert values(spark, labels.weekday_label("v"), [at("2025-06-23"), at("2025-06-25")], "timestamp_ntz") == [

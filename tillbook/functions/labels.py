@@ -31,6 +31,13 @@ def hour_label(hour: ColumnOrName) -> Column:
     return F.format_string("%02d:00", col(hour))
 
 
+def time_label(ts: ColumnOrName) -> Column:
+    """Time with at least one decimal, ``2025-06-23 09:15:00.0``; a missing one is ``None``."""
+    text = col(ts).cast("string")
+    shown = F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".0")))
+    return F.coalesce(shown, F.lit("None"))
+
+
 def items_label(count: ColumnOrName) -> Column:
     return F.format_string("Discards: %.0f items", col(count).cast("double"))
 

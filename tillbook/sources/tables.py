@@ -51,3 +51,20 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Make the tables available to ``spark.sql`` under their names."""
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
+
+
+# SQL spelling of the expressions that SQL users would otherwise miss. Catalyst inlines them.
+SQL_FUNCTIONS: dict[str, str] = {
+    "weekday_label": "(ts TIMESTAMP_NTZ) RETURNS STRING RETURN rpad(date_format(ts, 'EEEE'), 9, ' ')",
+    "day_month_label": (
+        "(day DATE) RETURNS STRING "
+        "RETURN concat(date_format(day, 'dd '), rpad(date_format(day, 'MMMM'), 9, ' '))"
+    ),
+    "money_label": "(amount DECIMAL(38, 4)) RETURNS STRING RETURN format_string('$%,.2f', double(amount))",
+}
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make the label functions available to ``spark.sql``."""
+    for name, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

@@ -39,6 +39,23 @@ def test_in_season(spark, start, end, day, expected):
     assert rows(with_column.select(predicates.in_season("s", "e", F.col("day")))) == [(expected,)]
 
 
+def season_by_hand(start, end, day):
+    if start is None or end is None:
+        return True
+    start, end, day = ((d.month, d.day) for d in (start, end, day))
+    if end[0] < start[0]:
+        return day >= start or day <= end
+    return start <= day <= end
+
+
+def test_in_season_on_a_grid_of_dates(spark):
+    grid = [None] + [dt.date(2024, month, day) for month in (1, 2, 3, 6, 11, 12) for day in (1, 15, 29)]
+    triples = [(s, e, d) for s in grid for e in grid for d in grid if d]
+    df = spark.createDataFrame(triples, "s date, e date, d date")
+    found = rows(df.select("s", "e", "d", predicates.in_season("s", "e", F.col("d"))))
+    assert [r[3] for r in found] == [season_by_hand(*r[:3]) for r in found]
+
+
 def test_ranges_differ_at_the_last_midnight(spark):
     times = [at("2025-06-23"), at("2025-06-24T23:59:59"), at("2025-06-25"), at("2025-06-22T23:59:59")]
     span = dt.date(2025, 6, 23), dt.date(2025, 6, 24)

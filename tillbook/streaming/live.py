@@ -89,7 +89,10 @@ def latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def distinct_carts(carts: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Carts with repeated deliveries dropped, as long as they arrive within ``lateness``."""
+    """Carts with repeated deliveries dropped, as long as they arrive within ``lateness``.
+
+    Repeats pass the state row by row; none are gathered, however many one cart has.
+    """
     return with_event_time(carts, lateness).dropDuplicatesWithinWatermark(["order_id"]).drop("event_time")
 
 

@@ -29,7 +29,7 @@ TABLES: dict[str, str] = {
         from customer""",
     "pos_line_keys": """
         select *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'
-                  || cast(l_quantity as int) || '-' || date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as line_key
+                  || date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as line_key
         from lineitem""",
     "pos_lines": """
         select line_key as orderItemID, l_partkey as menuID,

@@ -65,7 +65,7 @@ def test_feed_round_trip(spark, shop, tmp_path, name):
 def test_load_of_a_folder_twice_is_the_same(spark, shop, tmp_path):
     for name in LOAD_ORDER:
         feeds.write_feed(shop[name], name, str(tmp_path / FEED_FILES[name]))
-    staged = load.read_feeds(spark, str(tmp_path))
+    staged = load.stage_feeds(spark, str(tmp_path))
     once = load.load_tables(tables.empty_tables(spark), staged)
     twice = load.load_tables(once, staged)
     for name in LOAD_ORDER:
@@ -73,6 +73,11 @@ def test_load_of_a_folder_twice_is_the_same(spark, shop, tmp_path):
     orphan = shop["orderItem"].withColumn("orderID", F.lit(99).cast("bigint"))
     with pytest.raises(ConstraintError, match="orderItem.orderID"):
         load.load_tables(once, {"orderItem": orphan})
+    # A staged child may point to a parent that is staged with it.
+    parent = shop["ordertest"].where("orderID = 1").withColumn("orderID", F.lit(99).cast("bigint"))
+    both = load.load_tables(once, {"ordertest": parent, "orderItem": orphan})
+    assert both["ordertest"].count() == 6
+    assert rows(both["orderItem"].select("orderID").distinct()) == [(99,)]
 
 
 def test_versions_and_views(spark, shop, tmp_path):

@@ -19,10 +19,12 @@ def round2(amount: ColumnOrName) -> Column:
 
 
 def truncate_cents(amount: ColumnOrName) -> Column:
-    """Two decimals, the rest cut off towards zero."""
-    amount = col(amount)
-    cents = F.when(amount < 0, F.ceil(amount * 100)).otherwise(F.floor(amount * 100))
-    return (cents.cast(T.DecimalType(20, 0)) * F.lit("0.01").cast(T.DecimalType(3, 2))).cast(MONEY)
+    """Two decimals, the rest cut off towards zero, as the cast to a whole number does.
+
+    Every amount whose cents overflow that whole number is too large for money as well.
+    """
+    cents = (col(amount) * 100).cast("bigint").cast(T.DecimalType(18, 0))
+    return (cents * F.lit("0.01").cast(T.DecimalType(3, 2))).cast(MONEY)
 
 
 def to_int(text: ColumnOrName) -> Column:

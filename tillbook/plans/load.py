@@ -1,4 +1,4 @@
-"""Load of the CSV feeds into the tables: read, check, upsert."""
+"""Load of the CSV feeds into the tables: stage, check, upsert."""
 
 from __future__ import annotations
 
@@ -8,28 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillbook.operators.constraints import fk_violations, require_none
 from tillbook.operators.mutations import upsert
-from tillbook.schemas import FEED_FILES, FOREIGN_KEYS, LOAD_ORDER, PRIMARY_KEYS
+from tillbook.schemas import FEED_FILES, FOREIGN_KEYS, LOAD_ORDER, PRIMARY_KEYS, SCHEMAS
 from tillbook.sources.feeds import read_feed
+from tillbook.sources.workspace import scratch_path
 
 
-def read_feeds(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def stage_feed(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """A feed as a typed Parquet table in the shared folder.
+
+    The text is parsed once, and all of it is checked, before any later step reads it.
+    """
+    staged = scratch_path(spark, f"staged-{table}")
+    read_feed(spark, table, path).write.parquet(staged)
+    return spark.read.schema(SCHEMAS[table]).parquet(staged)
+
+
+def stage_feeds(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All eight feeds of a folder, parents first."""
-    return {name: read_feed(spark, name, f"{folder}/{FEED_FILES[name]}") for name in LOAD_ORDER}
+    return {name: stage_feed(spark, name, f"{folder}/{FEED_FILES[name]}") for name in LOAD_ORDER}
 
 
 def load_tables(current: Mapping[str, DataFrame], staged: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """New version of every table after upserting the staged rows.
 
-    A broken primary or foreign key fails the load before anything is written.
+    A broken primary or foreign key fails the load before anything is written. An upsert
+    removes no row, so only staged rows can break a foreign key, and each may point to an old or
+    a staged parent.
     """
-    loaded = {
+    for key in FOREIGN_KEYS:
+        if key.child in staged:
+            parent_key = PRIMARY_KEYS[key.parent]
+            parents = current[key.parent].select(parent_key)
+            if key.parent in staged:
+                parents = parents.unionByName(staged[key.parent].select(parent_key))
+            broken = fk_violations(staged[key.child], parents, key.column, parent_key)
+            require_none(broken, f"{key.child}.{key.column} has no {key.parent}")
+    return {
         name: upsert(current[name], staged[name], PRIMARY_KEYS[name]) if name in staged else current[name]
         for name in LOAD_ORDER
     }
-    for key in FOREIGN_KEYS:
-        if key.child in staged or key.parent in staged:
-            broken = fk_violations(
-                loaded[key.child], loaded[key.parent], key.column, PRIMARY_KEYS[key.parent]
-            )
-            require_none(broken, f"{key.child}.{key.column} has no {key.parent}")
-    return loaded

@@ -805,8 +805,10 @@ def g06_running_sales(spark, d):
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files. The braces make the path a pattern, which may be one
+    file or a folder of them; a plain path may only be a folder."""
     schema = star.read(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{{events.parquet}}")
 
 
 @query

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.llm import packing, quality, secrets, simhash, toxicity
+from tillbook.llm import packing, quality, secrets, simhash, toxicity, warc
 from tillbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -33,6 +37,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op6_simhash": op6_simhash,
@@ -40,4 +45,14 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),
+        r AS (SELECT page_id, n, h, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
+        FROM r
+    """,
+}

@@ -46,3 +46,16 @@ def row_function(returns: T.DataType, prepare: Callable[[], Callable]) -> Callab
 def words_of(text: str | None) -> list[bytes]:
     """The words between white space (space, x09 to x0D) as UTF-8, A-Z in lower case."""
     return text.encode().lower().split() if text else []
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.llm import packing, quality, secrets, simhash, toxicity, warc
+from tillbook.llm import decontamination, packing, quality, secrets, simhash, toxicity, warc
 from tillbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import row_function
+from tillbook.llm.common import columns_of, free_name, row_function
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -130,9 +130,9 @@ def find_secrets(docs: DataFrame, allow: Sequence[str] = ALLOW) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", allow: Sequence[str] = ALLOW) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mask`` and ``n_chars``, if there is one, counted anew.
+    """``docs`` with every secret in ``text`` replaced by ``mask``; there ``n_chars``, if there is one, is counted anew.
 
-    Overlapping spans become one mask. Texts without secrets, empty and null texts stay as they are.
+    Overlapping spans become one mask. Rows without secrets, with empty or null texts stay as they are.
     """
 
     def prepare():
@@ -150,11 +150,14 @@ def redact(docs: DataFrame, mask: str = "[secret]", allow: Sequence[str] = ALLOW
 
         return of
 
-    masked = row_function(T.StringType(), prepare)(F.col("text"))
-    out = docs.withColumn("text", masked)
+    new = free_name(docs, "_masked")
+    out = docs.withColumn(new, row_function(T.StringType(), prepare)(F.col("text")))
+    changed = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        same = F.col(new).eqNullSafe(F.col("text"))
+        changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.char_length(new).cast(kind))
+    return out.withColumns(changed).select(columns_of(docs))
 
 
 def listed(spans: Column) -> Column:

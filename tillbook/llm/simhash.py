@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import row_function, stored, words_of
+from tillbook.llm.common import columns_of, free_name, row_function, stored, words_of
 from tillbook.llm.components import components
 
 BITS, WIDTH, DISTANCE, SEED = 64, 3, 3, 42
@@ -319,20 +319,20 @@ def representatives(docs: DataFrame, width: int = WIDTH, distance: int = DISTANC
     Rows are known by two hashes of doc_id and text. Those of the rows to keep are found on short rows; whole texts are
     shuffled once, for the join that picks them.
     """
+    n1, n2 = free_name(docs, "_k1"), free_name(docs, "_k2")
     k1, k2 = F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1))
     found = stored(
-        docs.select("doc_id", fingerprint_of(F.col("text"), width).alias("fp"), k1.alias("_k1"), k2.alias("_k2")),
+        docs.select("doc_id", fingerprint_of(F.col("text"), width).alias("fp"), k1.alias(n1), k2.alias(n2)),
         "simhash-fingerprints",
     )
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", n1, n2)
     first = found.groupBy("fp").agg(F.min(rank).alias("first"))
     kept = (
         group_ids(found, distance)
         .join(first, "fp")
         .groupBy("root")
         .agg(F.min("first").alias("first"))
-        .select("first._k1", "first._k2")
-    )
-    return (
-        docs.withColumns({"_k1": k1, "_k2": k2}).join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+        .select(f"first.{n1}", f"first.{n2}")
     )
+    picked = docs.withColumns({n1: k1, n2: k2}).join(kept, [n1, n2]).dropDuplicates([n1, n2])
+    return picked.select(columns_of(docs))

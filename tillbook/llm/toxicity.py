@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,32 +164,40 @@ def score_text(text: str | None, dense: np.ndarray, bias: float) -> float:
     return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, total))))
 
 
-def score(docs: DataFrame, weights: Weights) -> DataFrame:
-    """``docs`` with ``toxicity``, from 0 to 1: of the whole text alone.
+def score_of(text: Column, weights: Weights, spark: SparkSession) -> Column:
+    """A text's score from 0 to 1, from the whole text alone.
 
-    A null or empty text has no feature and scores by the bias. Weights without examples of both labels score 0. Equal
-    texts score the same. Other columns stay; one named ``toxicity`` is replaced.
+    A null or empty text has no feature and scores by the bias. Weights without examples of both labels score 0.
     """
     if not weights.fitted:
-        return docs.withColumn("toxicity", F.lit(0.0))
-    sent = docs.sparkSession.sparkContext.broadcast((weights.places, weights.values))
+        return F.lit(0.0)
+    sent = spark.sparkContext.broadcast((weights.places, weights.values))
     bias = float(weights.bias)
 
     def prepare():
         places, values = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[places] = values
-        return lambda text: score_text(text, dense, bias)
+        return lambda value: score_text(value, dense, bias)
 
-    return docs.withColumn("toxicity", row_function(T.DoubleType(), prepare)(F.col("text")))
+    return row_function(T.DoubleType(), prepare)(text)
+
+
+def drop_toxic(docs: DataFrame, weights: Weights, least: float = 0.5) -> DataFrame:
+    """The documents, all columns as they are, that score under ``least``."""
+    return docs.where(score_of(F.col("text"), weights, docs.sparkSession) < least)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from the labelled documents outside the held-out fifth, then score every document."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    """Learn from the labelled documents outside the held-out fifth, then score every document.
+
+    Repeated rows each get a row, equal texts score the same, a null doc_id is not held out. Other columns than doc_id and text are
+    not used.
+    """
+    scored = docs.select("doc_id", score_of(F.col("text"), fit(docs, labels), docs.sparkSession).alias("score"))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("toxicity").alias("score"),
-        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.llm import decontamination, packing, quality, secrets, simhash, toxicity, warc
+from tillbook.llm import decontamination, licenses, packing, quality, secrets, simhash, toxicity, warc
 from tillbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }

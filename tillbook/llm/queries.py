@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.llm import decontamination, licenses, packing, quality, secrets, simhash, toxicity, warc
+from tillbook.llm import decontamination, langid, licenses, packing, quality, secrets, simhash, toxicity, warc
 from tillbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {

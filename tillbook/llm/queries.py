@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.llm import decontamination, langid, licenses, packing, quality, secrets, simhash, toxicity, warc
+from tillbook.llm import decontamination, langid, licenses, lm_scoring, packing, quality, secrets, simhash, toxicity, warc
 from tillbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
@@ -51,6 +55,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
@@ -70,4 +75,53 @@ SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
         FROM r
     """,
+    "op3_lm_scoring": """
+        WITH w AS (
+            SELECT d.doc_id, d.row AS row, q.doc_id IS NOT NULL AS target, t.word, t.place
+            FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents) d
+            LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) q USING (doc_id),
+            LATERAL (
+                SELECT unnest(l) AS word, generate_subscripts(l, 1) AS place
+                FROM (SELECT regexp_extract_all(
+                    translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS l)
+            ) t
+        ),
+        total AS (SELECT count(*)::DOUBLE AS b, count_if(target)::DOUBLE AS t FROM w),
+        known AS (
+            SELECT word, count(*) AS b, count_if(target) AS t FROM w GROUP BY word
+            HAVING count(*) >= greatest(2, ceil(1e-5 * (SELECT b FROM total)))
+        ),
+        rest AS (
+            SELECT '' AS word, (SELECT b FROM total) - coalesce(sum(b), 0) AS b, (SELECT t FROM total) - coalesce(sum(t), 0) AS t
+            FROM known
+        ),
+        size AS (SELECT count(*) + 1 AS v FROM known),
+        single AS (
+            SELECT word, 0.99 * u.b / total.b + 0.01 / v AS b,
+                   0.99 * CASE WHEN total.t > 0 THEN u.t / total.t ELSE 0 END + 0.01 / v AS t
+            FROM (SELECT * FROM known UNION ALL SELECT * FROM rest) u, total, size
+        ),
+        i AS (SELECT w.* EXCLUDE (word), coalesce(known.word, '') AS word FROM w LEFT JOIN known USING (word)),
+        g AS (
+            SELECT *, coalesce(lag(word) OVER (PARTITION BY row ORDER BY place), '<begin> ') AS prev FROM i
+        ),
+        pairs AS (SELECT prev, word, count(*)::DOUBLE AS b, count_if(target)::DOUBLE AS t FROM g GROUP BY prev, word),
+        context AS (SELECT prev, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY prev),
+        pair AS (
+            SELECT p.prev, p.word, 0.7 * p.b / c.b AS b, CASE WHEN c.t > 0 THEN 0.7 * p.t / c.t ELSE 0 END AS t
+            FROM pairs p JOIN context c USING (prev)
+            WHERE p.b >= greatest(2, ceil(2e-6 * (SELECT b FROM total)))
+        ),
+        taken AS (SELECT prev, sum(b) AS b, sum(t) AS t FROM pair GROUP BY prev),
+        loss AS (
+            SELECT g.row, count(*) AS n,
+                   avg(-ln((1 - coalesce(taken.t, 0)) * single.t + coalesce(pair.t, 0))) AS t,
+                   avg(-ln((1 - coalesce(taken.b, 0)) * single.b + coalesce(pair.b, 0))) AS b
+            FROM g JOIN single USING (word) LEFT JOIN pair USING (prev, word) LEFT JOIN taken USING (prev)
+            GROUP BY g.row
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_words, round(coalesce(t, 0), 6) AS target_loss,
+               round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score
+        FROM (SELECT doc_id, row_number() OVER () AS row FROM documents) d LEFT JOIN loss USING (row)
+    """,
 }

@@ -49,7 +49,7 @@ def entropy_windows(run: str, window: int, least: float, needs: Sequence = ()) -
     """
     if len(run) < window:
         return []
-    term = [0.0] + [n * log2(n) for n in range(1, window + 1)]
+    term = [0.0] + [n * log2(n) for n in range(1, window + 2)]
     counts: dict[str, int] = {}
     total, found = 0.0, []
     held = [0] * len(needs)

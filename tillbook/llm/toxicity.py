@@ -152,6 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
         train, "places binary, values binary, bias double, fitted boolean"
     )
     row = learned.first()
+    if row is None:  # an empty sample may have no partition at all
+        return Weights(np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0, False)
     return Weights(
         np.frombuffer(row["places"], np.uint32), np.frombuffer(row["values"], np.float32), row["bias"], row["fitted"]
     )

@@ -1,0 +1,30 @@
+import pytest
+
+
+def _frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture
+def docs(spark):
+    """Build documents from (doc_id, text) pairs, with an extra column that operators must not trip over."""
+
+    def build(rows, extra="score int"):
+        return _frame(spark, [(i, t, 7) for i, t in rows], f"doc_id long, text string, {extra}")
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def corpus(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+
+
+@pytest.fixture(scope="session")
+def labels(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+
+
+@pytest.fixture(scope="session")
+def benchmark_items(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")

@@ -1,0 +1,93 @@
+import random
+
+import pytest
+
+from tillbook.llm import decontamination as d
+
+
+def best(pattern, text):
+    """Edit distance of the pattern to the best substring, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(pattern, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_myers_equals_the_table():
+    random.seed(2)
+    for _ in range(600):
+        p = "".join(random.choice("ab ") for _ in range(random.randint(1, 90)))
+        t = "".join(random.choice("abc ") for _ in range(random.randint(0, 60)))
+        distance, end = d.myers(p, t)
+        assert distance == best(p, t) and best(p, t[:end]) == distance
+
+
+def edited(text, n):
+    for _ in range(n):
+        at, kind = random.randrange(len(text)), random.choice("sid")
+        text = text[:at] + {"s": "#", "i": text[at] + "#", "d": ""}[kind] + text[at + 1 :]
+    return text
+
+
+def test_equals_brute_force(spark, docs):
+    random.seed(4)
+    words = ["".join(random.choice("abcdefgh") for _ in range(random.randint(1, 7))) for _ in range(60)]
+    text = lambda n: " ".join(random.choice(words) for _ in range(n))
+    items = [(i, text(random.randint(4, 25))) for i in range(12)] + [(None, text(9)), (90, "tiny"), (91, None), (92, "")]
+    rows = [(i, text(random.randint(0, 60))) for i in range(30)]
+    for i in range(60):
+        item = random.choice(items[:13])[1]
+        rows.append((100 + i, f"{text(8)} {edited(item, random.randint(0, len(item) // 6)).upper()}\n {text(5)}"))
+    rows += [(500, None), (None, items[0][1]), (None, items[0][1])]
+    table = docs(rows)
+    bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
+    want = []
+    for i, t in rows:
+        for j, b in items:
+            item = d.item_of(b)
+            if item and (distance := best(item.text, d.normalized(t))) <= item.budget:
+                want.append((i, j, distance))
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    for block in (d.BLOCK_CHARS, 150):
+        found = d.contamination(table, bench, block_chars=block).collect()
+        assert sorted((tuple(r)[:3] for r in found), key=key) == sorted(want, key=key)
+    texts = {i: t for i, t in rows if i is not None}
+    for r in found:
+        if r.doc_id is not None and r.item_id is not None and r.distance == 0:
+            assert d.normalized(texts[r.doc_id][r.start : r.end]) == d.normalized(dict(items)[r.item_id])
+    kept = d.clean(table, bench)
+    assert kept.columns == table.columns
+    gone = {i for i, _, _ in want}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i not in gone)
+
+
+def test_places_are_code_points_of_the_text(spark, docs):
+    item = "The quick brown fox jumps over the lazy dog"
+    text = "é\U0001f600  the QUICK\nbrown\t\tfox jumps over  the lazy dog!"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (r,) = d.contamination(docs([(1, text)]), bench).collect()
+    assert r.distance == 0 and text[r.start : r.end] == text[4:-1]
+
+
+def test_empty_tables(spark, docs, benchmark_items):
+    table = docs([(1, "some text of no interest")])
+    assert d.contamination(table, benchmark_items.limit(0)).count() == 0
+    assert d.contamination(docs([]), benchmark_items).count() == 0
+    assert d.clean(table, benchmark_items.limit(0)).count() == 1
+
+
+def test_planted_passages_are_found(corpus, benchmark_items):
+    items = [r.text for r in benchmark_items.collect()]
+    planted = {r.doc_id for r in corpus.collect() if any(i.lower() in r.text.lower() for i in items)}
+    found = {r.doc_id for r in d.contamination(corpus, benchmark_items).collect()}
+    assert planted and found == planted
+
+
+@pytest.mark.parametrize("budget", [0, 1, 7])
+def test_pieces_cover_the_item(budget):
+    item = d.Item("abcdefghijklmnopqrstuvwxyz", budget)
+    pieces = list(item.pieces())
+    assert len(pieces) == budget + 1 and "".join(p for _, p in pieces) == item.text and all(p for _, p in pieces)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,36 @@ def free_name(df: DataFrame, name: str) -> str:
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns of ``df``, whatever characters their names hold."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+#: Bits of a filter of ids: 4 MB, whatever their number.
+FILTER_BITS = 25
+
+
+def likely_members(rows: DataFrame, ids: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Those of ``rows`` whose ``column`` may be among the ``ids``, and few others: for a semi-join to follow.
+
+    A Bloom filter of fixed size, so the join shuffles little but its result while the ids are up to a few millions. With more ids
+    more rows pass, all of them in the end; none that belongs is ever lost. Null is never a member.
+    """
+
+    def places(name: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(1 << bits)) for seed in range(3)]
+
+    place = ids.where(F.col(column).isNotNull()).select(F.explode(F.array(*places(column))).alias("place"))
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("set")).toArrow()
+    filled = np.zeros(1 << bits >> 6, np.int64)
+    filled[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(filled)
+
+    def may_be(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        found = True
+        for at in (a, b, c):
+            at = at.to_numpy()
+            found = found & (sent.value[at >> 6] >> (at & 63) & 1 == 1)
+        return pa.array(found)
+
+    may_be.__annotations__ = dict.fromkeys((*"abc", "return"), pa.Array)
+    known = F.arrow_udf(may_be, T.BooleanType())(*places(column))
+    return rows.where(F.col(column).isNotNull() & known)

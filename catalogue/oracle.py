@@ -121,13 +121,14 @@ _STATS = """
 
 _APPENDED = """
     select numbered.id as orderID, r.employeeID, {location}, orderDate, cast(total as double) as orderTotal
-    from (select *, (select max(orderID) from pos_orders) + row_number() over (order by orderDate, order_id, total) as id,
-                 ((select count(*) from pos_orders) + row_number() over (order by orderDate, order_id, total) - 1)
+    from (select *, (select max(orderID) from pos_orders) + row_number() over (order by {order}) as id,
+                 ((select count(*) from pos_orders) + row_number() over (order by {order}) - 1)
                      % (select count(*) from pos_rotation) as my_turn
           from {carts}) numbered
     join pos_rotation r on r.turn = numbered.my_turn"""
 
 _TICK_CARTS = "(select orderID as order_id, orderDate, orderTotal as total from pos_ticks)"
+_BY_TIME = "orderDate, order_id, total"
 _HERE = "'College Station' as orderLocation"
 _EXISTING = "select orderID, employeeID, orderLocation, orderDate, cast(orderTotal as double) as orderTotal from pos_located"
 
@@ -146,19 +147,19 @@ QUERIES: dict[str, str] = {
         select menuName, count(r.inventoryID) as inventory_items_used
         from pos_recipe r join pos_menu m on r.menuID = m.menuID group by 1""",
     "q05_worst_day_top_seller": """
-        , worst_day as (
-            select cast(orderDate as date) as sale_day, sum(orderTotal) as total_sales
-            from pos_orders where week(orderDate) = 26 group by 1 order by 2, 1 limit 1),
-        top_seller as (
-            select menuName, sum(quantityPurchased) as total_quantity
-            from pos_lines l join pos_orders o on l.orderID = o.orderID
-            join pos_menu m on l.menuID = m.menuID
-            join worst_day w on cast(o.orderDate as date) = w.sale_day
-            group by 1 order by 2 desc, 1 limit 1)
-        select strftime(sale_day, '%d ') || rpad(monthname(sale_day), 9, ' ') as lowest_sales_day,
-               cast(total_sales as double) as total_sales, menuName as top_seller,
-               cast(total_quantity as double) as total_quantity
-        from worst_day, top_seller""",
+        , per_item as (
+            select cast(orderDate as date) as d, menuName, sum(quantityPurchased) as q
+            from pos_orders join pos_lines using (orderID) join pos_menu using (menuID)
+            where week(orderDate) = 26 group by all),
+        leaders as (
+            select d, arg_min(menuName, (-q, menuName)) as item, max(q) as q from per_item group by d),
+        days as (
+            select cast(orderDate as date) as d, sum(orderTotal) as s,
+                   row_number() over (order by sum(orderTotal), cast(orderDate as date)) as place
+            from pos_orders where week(orderDate) = 26 group by 1)
+        select strftime(d, '%d ') || rpad(monthname(d), 9, ' ') as lowest_sales_day, cast(s as double) as total_sales,
+               item as top_seller, cast(q as double) as total_quantity
+        from days join leaders using (d) where place = 1""",
     "q06_orders_with_employee": """
         select orderID, employeeName, orderDate, cast(orderTotal as double) as orderTotal
         from pos_orders join pos_employee using (employeeID)""",
@@ -203,10 +204,9 @@ QUERIES: dict[str, str] = {
         from pos_orders o join pos_lines l on o.orderID = l.orderID group by 1, 2
         order by sum(quantityPurchased * priceAtPurchase) desc, 1, 2 limit 5""",
     "q17_avg_items_by_employee": f"""
-        , item_counts as (
-            select orderID, sum(quantityPurchased) as total_items from pos_lines group by 1)
-        select employeeName, {_AVERAGE.format(sum="sum(total_items)", n="count(total_items)")} as avg_items_per_order
-        from pos_employee join pos_orders using (employeeID) join item_counts using (orderID) group by 1""",
+        select employeeName, {_AVERAGE.format(sum="sum(quantityPurchased)", n="count(distinct orderID)")} as avg_items_per_order
+        from pos_lines join (select distinct orderID, employeeID from pos_orders) using (orderID)
+        join pos_employee using (employeeID) group by employeeName""",
     "q18_mod_revenue_by_item": """
         select menuName, cast(sum(cost) as double) as total_modification_revenue
         from pos_lines l join pos_menu m on l.menuID = m.menuID
@@ -411,11 +411,36 @@ QUERIES: dict[str, str] = {
                cast(case orderID % 4 when 0 then employeeID when 1 then -employeeID
                     when 2 then orderTotal end as double) as amount
         from pos_orders""",
+    "x18_employee_form": """
+        select if(employeeID % 3 = 0, '12a', cast(employeeID as varchar)) as employeeID,
+               if(employeeID % 5 = 0, ' ', employeeName) as employeeName, employeePosition,
+               array_to_string(list_filter([if(employeeID % 3 = 0, 'employeeID', ''), if(employeeID % 5 = 0, 'employeeName', ''),
+                   if(employeeID % 7 = 0, 'employeePasscode', '')], lambda x: x <> ''), ', ') as problems
+        from pos_employee where employeeID % 3 = 0 or employeeID % 5 = 0 or employeeID % 7 = 0""",
+    "x18_menu_change_form": """
+        select cast(menuID + 3000000000 as varchar) as menuID, menuName, if(menuID % 5 = 0, '', category) as category,
+               if(menuID % 3 = 0, '$4', cast(price as varchar)) as price,
+               if(menuID % 5 = 0, if(menuID % 3 = 0, 'category, price', 'category'), 'price') as problems
+        from pos_menu where menuID % 3 = 0 or menuID % 5 = 0""",
+    "x18_restock_form": """
+        select inventoryName, '1.5' as addAmount, 'addAmount' as problems from pos_inventory where inventoryID % 3 = 0""",
     "s01_order_feed": _EXISTING,
     "s02_menu_feed": """
         select menuID, menuName || ', "' || menuDescription || '"' as menuName, category,
                cast(price as double) as price, menuImage, 'None' as menuDescription, seasonalStart, seasonalEnd
         from pos_menu""",
+    "s03_staged_load": """
+        select 'menu' as table_name, count(*) as n_rows, count(distinct menuID) as n_keys,
+               cast(sum(price) as double) as total from pos_menu
+        union all select 'employee', count(*), count(distinct employeeID), cast(sum(employeeID) as double) from pos_employee
+        union all select 'ordertest', count(*), count(distinct orderID), cast(sum(orderTotal) as double) from pos_located
+        union all select 'inventory', count(*), count(distinct inventoryID), cast(sum(quantityAvailable) as double)
+        from pos_inventory
+        union all select 'locationTable', count(*), count(distinct locationID), cast(sum(locationID) as double)
+        from pos_location""",
+    "s04_table_versions": """
+        select menuID, menuName, category, cast(price as double) as price, menuImage, menuDescription, seasonalStart,
+               seasonalEnd from pos_menu""",
     "s08_display": """
         select cast(orderID as varchar) as orderID, cast(employeeID as varchar) as employeeID,
                cast(orderTotal as varchar) as orderTotal from pos_ticks""",
@@ -459,7 +484,7 @@ QUERIES: dict[str, str] = {
         select menuID, menuName, category, cast(price as double) as price, menuImage, menuDescription,
                seasonalStart, seasonalEnd
         from pos_menu where exists (select 1 from lineitem where l_partkey = menuID)""",
-    "w08_append_orders": _EXISTING + " union all " + _APPENDED.format(location=_HERE, carts=_TICK_CARTS),
+    "w08_append_orders": _EXISTING + " union all " + _APPENDED.format(location=_HERE, carts=_TICK_CARTS, order=_BY_TIME),
     "w10_pk_violations": """
         select l_orderkey, l_linenumber, count(*) as n_rows from lineitem group by 1, 2 having count(*) > 1""",
     "w11_fk_violations": """
@@ -482,6 +507,7 @@ QUERIES: dict[str, str] = {
     "c03_cart_totals": "select order_id, n_lines, cast(total as double) as total from pos_carts",
     "c04_submit_orders": _EXISTING + " union all " + _APPENDED.format(
         location=_HERE,
+        order=_BY_TIME,
         carts="""(select order_id, total, orderDate from pos_carts
                   join (select order_id, max(orderDate) as orderDate from pos_cart_events group by 1) using (order_id)
                   where n_lines > 0)""",
@@ -514,7 +540,7 @@ QUERIES: dict[str, str] = {
         select sales_day, cast(s as double) as daySales,
                cast(sum(s) over (order by sales_day rows unbounded preceding) as double) as totalSales
         from days""",
-    "t01_order_intake": _APPENDED.format(location=_HERE, carts=_TICK_CARTS),
+    "t01_order_intake": _APPENDED.format(location=_HERE, carts=_TICK_CARTS, order="order_id % 4, " + _BY_TIME),
     "t02_live_hourly_sales": """
         select date_trunc('hour', orderDate) as hourStart, cast(sum(orderTotal) as double) as totalSales,
                count(*) as totalOrders

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from tillbook.functions import dates, labels, numbers, predicates
 from tillbook.operators import constraints, joins, mutations, ordering
-from tillbook.plans import audit, cart, reports, rules, sales
-from tillbook.schemas import MONEY
-from tillbook.sources import display, feeds, star
+from tillbook.plans import audit, cart, load, reports, rules, sales
+from tillbook.schemas import FEED_FILES, FEED_HEADERS, LOAD_ORDER, MONEY, SCHEMAS
+from tillbook.sources import display, feeds, star, tables
 from tillbook.sources.workspace import scratch_path
 from tillbook.streaming import live
 
@@ -423,8 +423,7 @@ def a05_empty_order_stats(spark, d):
 
 @query
 def a09_next_id(spark, d):
-    orders = star.orders(spark, d)
-    return orders.agg((F.coalesce(F.max("orderID"), F.lit(0)) + 1).alias("next_id"))
+    return cart.next_id(star.orders(spark, d), "orderID")
 
 
 @query
@@ -458,7 +457,8 @@ def a14_grand_total(spark, d):
 def o05_nth_employee(spark, d):
     """The employee at the place that the number of orders gives, modulo the employees."""
     employee = star.employees(spark, d).select("employeeID", "employeeName")
-    place = star.orders(spark, d).count() % employee.count()
+    n_orders, n_employees = (df.select(F.count("*")).scalar() for df in (star.orders(spark, d), employee))
+    place = n_orders % n_employees
     return ordering.nth_row(employee, "employeeID", place)
 
 
@@ -550,6 +550,41 @@ def x18_parsed_numbers(spark, d):
     )
 
 
+def _some_bad(value: Column, key: str, bad: str) -> Column:
+    """A form field as text; every third one is spoilt."""
+    return F.when(F.col(key) % 3 == 0, F.lit(bad)).otherwise(value.cast("string"))
+
+
+@query
+def x18_employee_form(spark, d):
+    key = "employeeID"
+    form = star.employees(spark, d).select(
+        _some_bad(F.col(key), key, "12a").alias(key),
+        F.when(F.col(key) % 5 == 0, F.lit(" ")).otherwise(F.col("employeeName")).alias("employeeName"),
+        "employeePosition",
+        F.when(F.col(key) % 7 != 0, F.lit("0000")).alias("employeePasscode"),
+    )
+    return mutations.employee_form_violations(form).drop("employeePasscode")
+
+
+@query
+def x18_menu_change_form(spark, d):
+    form = star.menu(spark, d).select(
+        (F.col("menuID") + F.lit(3_000_000_000)).cast("string").alias("menuID"),
+        "menuName",
+        F.when(F.col("menuID") % 5 == 0, F.lit("")).otherwise(F.col("category")).alias("category"),
+        _some_bad(F.col("price"), "menuID", "$4").alias("price"),
+    )
+    return mutations.menu_change_violations(form)
+
+
+@query
+def x18_restock_form(spark, d):
+    amount = _some_bad(F.col("restockOrdered"), "inventoryID", "1.5")
+    form = star.inventory(spark, d).select("inventoryName", amount.alias("addAmount"))
+    return mutations.restock_violations(form)
+
+
 # --- S: sources and sinks ---------------------------------------------------------------
 
 
@@ -566,19 +601,97 @@ def s02_menu_feed(spark, d):
     """Menu rows with commas and quotes in their text and seasons in the US spelling."""
     path = scratch_path(spark, "menu-feed")
     season = "M/d/yyyy H:mm"
+    values = (
+        F.col("menuID"),
+        F.concat(F.col("menuName"), F.lit(', "'), F.col("menuDescription"), F.lit('"')),
+        F.col("category"),
+        F.col("price"),
+        F.col("menuImage"),
+        F.lit("None"),
+        F.date_format("seasonalStart", season),
+        F.date_format("seasonalEnd", season),
+    )
     star.menu(spark, d).select(
-        F.col("menuID").alias("MenuID"),
-        F.concat(F.col("menuName"), F.lit(', "'), F.col("menuDescription"), F.lit('"')).alias("Name"),
-        F.col("category").alias("Category"),
-        F.col("price").alias("Price"),
-        F.col("menuImage").alias("Image"),
-        F.lit("None").alias("Description"),
-        F.date_format("seasonalStart", season).alias("SeasonalStart"),
-        F.date_format("seasonalEnd", season).alias("SeasonalEnd"),
+        *[value.alias(header) for value, header in zip(values, FEED_HEADERS["menu"], strict=True)]
     ).write.options(header=True, quote='"', escape='"').csv(path)
     return feeds.read_feed(spark, "menu", path)
 
 
+def _shop(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The star tables in the schemas of the eight tables; columns that they lack are NULL, tables that they lack empty."""
+    found = {
+        "menu": star.menu(spark, d),
+        "employee": star.employees(spark, d),
+        "ordertest": star.located_orders(spark, d),
+        "inventory": star.inventory(spark, d),
+        "locationTable": star.locations(spark, d),
+    }
+
+    def fitted(name: str) -> DataFrame:
+        if name not in found:
+            return spark.createDataFrame([], SCHEMAS[name])
+        table = found[name]
+        return table.select(
+            *[
+                (F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in SCHEMAS[name].fields
+            ]
+        )
+
+    return {name: fitted(name) for name in LOAD_ORDER}
+
+
+def _older_shop(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """As the tables were before a load: every other order, employee and menu item is missing, other menu items have an old
+    price."""
+    shop = _shop(spark, d)
+    known = {"menu": "menuID", "employee": "employeeID", "ordertest": "orderID"}
+    older = {name: shop[name].where(F.col(key) % 2 == 0) for name, key in known.items()}
+    older["menu"] = older["menu"].withColumn("price", F.lit("1.00").cast(MONEY))
+    return {**shop, **older}
+
+
+def _loaded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The feeds of the shop's five filled tables, staged and loaded onto the older tables."""
+    folder = scratch_path(spark, "feeds")
+    names = ("menu", "employee", "inventory", "locationTable", "ordertest")
+    shop = _shop(spark, d)
+    for name in names:
+        feeds.write_feed(shop[name], name, f"{folder}/{FEED_FILES[name]}")
+    staged = {name: load.stage_feed(spark, name, f"{folder}/{FEED_FILES[name]}") for name in names}
+    return load.load_tables(_older_shop(spark, d), staged)
+
+
+@query
+def s03_staged_load(spark, d):
+    """Rows, keys and totals of every table after the load."""
+    loaded = _loaded(spark, d)
+    measures = {
+        "menu": ("menuID", "price"), "employee": ("employeeID", "employeeID"), "ordertest": ("orderID", "orderTotal"),
+        "inventory": ("inventoryID", "quantityAvailable"), "locationTable": ("locationID", "locationID"),
+    }
+    parts = [
+        loaded[name].agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"),
+            F.sum(F.col(measure).cast("decimal(38,2)")).cast("double").alias("total"),
+        )
+        for name, (key, measure) in measures.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query
+def s04_table_versions(spark, d):
+    """The menu after a load, written as a version and opened as the latest one."""
+    root = scratch_path(spark, "versions")
+    tables.save_tables(_older_shop(spark, d), root, "before")
+    tables.save_tables(_loaded(spark, d), root, "after")
+    return tables.open_tables(spark, root)["menu"]
+
+
 @query
 def s08_display(spark, d):
     return display.as_display(star.ticks(spark, d).select("orderID", "employeeID", "orderTotal"))
@@ -803,40 +916,50 @@ def g06_running_sales(spark, d):
 
 # --- T: streams -------------------------------------------------------------------------
 
+#: The events come in so many parts, each with events of the whole time range.
+PARTS = 4
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of files. The braces make the path a pattern, which may be one
-    file or a folder of them; a plain path may only be a folder."""
+
+def _event_part(spark: SparkSession, d: str, part: int) -> DataFrame:
+    return star.read(spark, d, "events").where(F.col("event_id") % PARTS == part)
+
+
+def _ticks_stream(spark: SparkSession, d: str, folder: str, **options) -> DataFrame:
     schema = star.read(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/{{events.parquet}}")
+    return star.ticks_of(spark.readStream.schema(schema).options(**options).parquet(folder))
 
 
 @query
 def t01_order_intake(spark, d):
+    """Part after part arrives, and the intake is started anew for each: most orders are older than the newest before."""
     path = scratch_path(spark, "intake")
-    carts = star.ticks_of(_event_stream(spark, d)).select(
-        F.col("orderID").alias("order_id"), "orderDate", F.lit(1).alias("n_lines"),
-        F.col("orderTotal").alias("total"),
-    )
-    live.start_intake(
-        carts, star.orders(spark, d), star.employees(spark, d), path, f"{path}/checkpoint", ROTATION
-    ).awaitTermination()
-    return spark.read.parquet(f"{path}/orders").drop("batch")
+    for part in range(PARTS):
+        _event_part(spark, d, part).write.mode("append").parquet(f"{path}/source")
+        carts = _ticks_stream(spark, d, f"{path}/source").select(
+            F.col("orderID").alias("order_id"), "orderDate", F.lit(1).alias("n_lines"),
+            F.col("orderTotal").alias("total"),
+        )
+        live.start_intake(
+            carts, star.orders(spark, d), star.employees(spark, d), path, f"{path}/checkpoint", ROTATION
+        ).awaitTermination()
+    return live.accepted_orders(spark, path)
 
 
-def _run_report(spark: SparkSession, report: DataFrame, mode: str, name: str, key: str) -> DataFrame:
+def _run_report(spark: SparkSession, d: str, partials: live.Partials, name: str) -> str:
+    """Run a report over the parts, one file to a micro-batch."""
     path = scratch_path(spark, name)
-    live.start_report(report, mode, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return live.latest_rows(spark, f"{path}/rows", key)
+    for part in range(PARTS):
+        _event_part(spark, d, part).write.mode("append").parquet(f"{path}/source")
+    orders = _ticks_stream(spark, d, f"{path}/source", maxFilesPerTrigger=1)
+    live.start_report(orders, partials, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/rows"
 
 
 @query
 def t02_live_hourly_sales(spark, d):
-    report = live.live_hourly_sales(star.ticks_of(_event_stream(spark, d)))
-    return _run_report(spark, report, "complete", "hourly", "hourStart")
+    return live.hourly_sales(spark, _run_report(spark, d, live.hour_partials, "hourly"))
 
 
 @query
 def t03_live_day_totals(spark, d):
-    report = live.live_day_totals(star.ticks_of(_event_stream(spark, d)))
-    return _run_report(spark, report, "update", "days", "day")
+    return live.day_totals(spark, _run_report(spark, d, live.day_partials, "days"))

@@ -75,12 +75,12 @@ def test_submit_orders(spark, shop):
         (7, 2, "College Station", at("2025-07-01T10:00:00"), money("4.00")),
         (8, 3, "College Station", at("2025-07-01T11:00:00"), money("5.00")),
     ]
-    assert cart.next_id(appended, "orderID") == 9
+    assert rows(cart.next_id(appended, "orderID")) == [(9,)]
 
 
 def test_first_order_ever_and_one_cashier(spark, shop):
     none = shop["ordertest"].limit(0)
-    assert cart.next_id(none, "orderID") == 1
+    assert rows(cart.next_id(none, "orderID")) == [(1,)]
     one = cart.submit_orders(none, carts(spark), shop["employee"], rotation=(2,))
     assert [r[:2] for r in sorted(rows(one))] == [(1, 2), (2, 2), (3, 2)]
     with pytest.raises(ZeroDivisionError):

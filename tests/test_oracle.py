@@ -19,6 +19,7 @@ TYPES = {
 }
 QUERIES = entry_points.queries()
 SQL = entry_points.oracle_sql()
+OWN = entry_points.QUERIES
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are not here")
 
@@ -32,10 +33,10 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(OWN) <= set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_equals_sql(spark, duck, name):
     result = QUERIES[name](spark, FOLDER)
     expected = duck.sql(SQL[name])

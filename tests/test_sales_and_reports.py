@@ -161,4 +161,3 @@ def test_available_menu(shop):
     assert sorted(rows(reports.available_menu(shop["menu"], "Fresh Brew", dt.date(2025, 4, 1)))) == tea
     assert rows(reports.available_menu(shop["menu"], "Fresh Brew", dt.date(2025, 7, 1))) == tea[:1]
     assert rows(reports.available_menu(shop["menu"], "Fruity Beverage", dt.date(2030, 1, 15)))[0][0] == "Plum Fizz"
-    assert len(reports.CATEGORIES) == 6

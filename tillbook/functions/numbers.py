@@ -33,6 +33,12 @@ def to_int(text: ColumnOrName) -> Column:
     return F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("int"))
 
 
+def to_long(text: ColumnOrName) -> Column:
+    """As :func:`to_int`, as wide as the tables' keys."""
+    raw = col(text)
+    return F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("bigint"))
+
+
 def to_money(text: ColumnOrName) -> Column:
     """Amount from text, to the cent; anything that is no number gives NULL."""
     return F.trim(text).try_cast(MONEY)

@@ -21,15 +21,24 @@ def pk_violations(table: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return table.groupBy(*columns).agg(F.count("*").alias("n_rows")).where((F.col("n_rows") > 1) | missing)
 
 
+def used_keys(table: DataFrame, keys: DataFrame, key: str, column: str | None = None) -> DataFrame:
+    """Those of the few ``keys`` that occur in a ``column`` of a large table.
+
+    The table is filtered by the keys, not the keys by the table: Spark broadcasts the keys if they are small, and then no row of
+    the table is shuffled but those that match, which are combined first.
+    """
+    own = table.select(F.col(column or key).alias(key))
+    return own.join(keys.select(key).distinct(), key, "left_semi").distinct()
+
+
 def fk_violations(child: DataFrame, parent: DataFrame, column: str, parent_key: str | None = None) -> DataFrame:
     """Keys without a parent, with their number of child rows. A NULL key is allowed.
 
-    Children are counted per key before the join: a hot key is a single row there.
+    Children are counted per key before the join: a hot key is a single row there. Parents are first cut down to the
+    children's keys.
     """
-    parent_key = parent_key or column
-    keys = parent.select(F.col(parent_key).alias(column))
     counts = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_rows"))
-    return counts.join(keys, column, "left_anti")
+    return counts.join(used_keys(parent, counts, column, parent_key), column, "left_anti")
 
 
 def require_none(violations: DataFrame, rule: str, shown: int = 5) -> None:

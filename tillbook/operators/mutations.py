@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.columns import col
 from tillbook.functions.dates import date_literal, iso_date
-from tillbook.functions.numbers import to_int, to_money
-from tillbook.operators.constraints import require_none, require_unique
+from tillbook.functions.numbers import to_int, to_long, to_money
+from tillbook.operators.constraints import require_none, require_unique, used_keys
 from tillbook.operators.joins import spread_join
 
 
@@ -35,7 +35,7 @@ def insert_rows(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     Columns that the new rows lack become NULL.
     """
     require_unique(new, key, "inserted rows")
-    require_none(new.select(key).join(table.select(key), key, "left_semi"), f"{key} already in use")
+    require_none(used_keys(table, new, key), f"{key} already in use")
     return table.unionByName(new, allowMissingColumns=True)
 
 
@@ -58,10 +58,10 @@ def menu_rows(form: DataFrame, as_of: dt.date) -> DataFrame:
     def number(column: str, parse) -> Column:
         bad = F.raise_error(F.concat(F.lit(f"{column} must be a number: "), F.coalesce(column, F.lit("NULL"))))
         parsed = parse(column)
-        return F.coalesce(parsed, bad.cast("int") if column == "menuID" else bad.cast("decimal(18,2)"))
+        return F.coalesce(parsed, bad.cast("bigint") if column == "menuID" else bad.cast("decimal(18,2)"))
 
     return form.select(
-        number("menuID", to_int).alias("menuID"),
+        number("menuID", to_long).alias("menuID"),
         "menuName",
         "category",
         number("price", to_money).alias("price"),
@@ -71,19 +71,48 @@ def menu_rows(form: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
+def _violations(form: DataFrame, problems: dict[str, Column]) -> DataFrame:
+    """Rows with a problem, and the names of the fields that have one."""
+    named = F.concat_ws(", ", *[F.when(bad, F.lit(field)) for field, bad in problems.items()])
+    return form.select("*", named.alias("problems")).where(F.col("problems") != "")
+
+
+def _blank(field: str) -> Column:
+    return F.coalesce(F.trim(field), F.lit("")) == ""
+
+
 def form_violations(form: DataFrame) -> DataFrame:
-    """Form rows with a number or date that cannot be read, and what is wrong with them."""
-    def bad_bound(column: str) -> Column:
-        return (F.coalesce(F.trim(column), F.lit("")) != "") & iso_date(column).isNull()
-
-    problems = F.concat_ws(
-        ", ",
-        F.when(to_int("menuID").isNull(), F.lit("menuID")),
-        F.when(to_money("price").isNull(), F.lit("price")),
-        F.when(bad_bound("seasonalStart"), F.lit("seasonalStart")),
-        F.when(bad_bound("seasonalEnd"), F.lit("seasonalEnd")),
+    """Rows of the form for new menu items with a number or date that cannot be read, and what is wrong with them."""
+
+    def bad_bound(field: str) -> Column:
+        return ~_blank(field) & iso_date(field).isNull()
+
+    return _violations(
+        form,
+        {
+            "menuID": to_long("menuID").isNull(),
+            "price": to_money("price").isNull(),
+            "seasonalStart": bad_bound("seasonalStart"),
+            "seasonalEnd": bad_bound("seasonalEnd"),
+        },
     )
-    return form.select("*", problems.alias("problems")).where(F.col("problems") != "")
+
+
+def employee_form_violations(form: DataFrame) -> DataFrame:
+    """Rows of the form for new employees whose id is no whole number, or that leave a name, position or passcode out."""
+    texts = ("employeeName", "employeePosition", "employeePasscode")
+    return _violations(form, {"employeeID": to_long("employeeID").isNull(), **{field: _blank(field) for field in texts}})
+
+
+def menu_change_violations(form: DataFrame) -> DataFrame:
+    """Rows of the form that changes menu items whose id or price cannot be read, or that leave the name or category out."""
+    problems = {"menuID": to_long("menuID").isNull(), "menuName": _blank("menuName"), "category": _blank("category")}
+    return _violations(form, {**problems, "price": to_money("price").isNull()})
+
+
+def restock_violations(form: DataFrame) -> DataFrame:
+    """Rows of the restock form whose amount is no whole number."""
+    return _violations(form, {"addAmount": to_int("addAmount").isNull()})
 
 
 def insert_menu_items(menu: DataFrame, form: DataFrame, as_of: dt.date) -> DataFrame:
@@ -121,12 +150,10 @@ def apply_restock(inventory: DataFrame, deltas: DataFrame) -> DataFrame:
 
 def referenced_keys(keys: DataFrame, key: str, children: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Those of ``keys`` that some child table still points to."""
-    found = None
+    found = keys.select(key).limit(0)
     for child, column in children:
-        used = child.select(F.col(column).alias(key)).where(F.col(key).isNotNull()).distinct()
-        found = used if found is None else found.unionByName(used)
-    wanted = keys.select(key).distinct()
-    return wanted.limit(0) if found is None else wanted.join(found, key, "left_semi")
+        found = found.unionByName(used_keys(child, keys, key, column))
+    return found.distinct()
 
 
 def delete_by_key(

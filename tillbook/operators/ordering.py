@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.operators.sequence import number_rows
+
 
 def _keys(measure: str, ties: Sequence[str], descending: bool) -> list[Column]:
     first = F.col(measure).desc_nulls_first() if descending else F.col(measure).asc_nulls_last()
@@ -30,6 +32,10 @@ def top_k(df: DataFrame, measure: str, k: int, ties: Sequence[str] = (), descend
     return df.orderBy(*_keys(measure, ties, descending)).limit(k)
 
 
-def nth_row(df: DataFrame, measure: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
-    """The row at position ``n`` (from 0) in ascending order; no row when ``n`` is too large."""
-    return df.orderBy(*_keys(measure, ties, descending=False)).offset(n).limit(1)
+def nth_row(df: DataFrame, measure: str, n: int | Column, ties: Sequence[str] = ()) -> DataFrame:
+    """The row at position ``n`` (from 0, a number or a one-row subquery) in ascending order; no row when ``n`` is too large.
+
+    The rows are numbered by a range sort over all tasks; none gathers the rows before the n-th.
+    """
+    place = "_place"
+    return number_rows(df, [measure, *ties], place).where(F.col(place) == n).drop(place)

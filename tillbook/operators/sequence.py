@@ -14,18 +14,21 @@ from tillbook.sources.workspace import scratch_path
 _PLACE_BITS = 33
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "seq", path: str | None = None) -> DataFrame:
     """Add ``name`` = 0, 1, 2, ... in the order of ``order``, which should be unique.
 
     The rows are range-sorted, so all tasks share the work even when many rows have the same
     leading key. Each row's place in its partition is written out with the sorted
     rows to a table in the shared folder: a lost executor can then not renumber some of them.
     The partition sizes, one small row per partition, give the offset of each partition.
+
+    The table goes to ``path``, replacing what is there; without one it gets a new folder, which stays as long
+    as the result is in use and is the caller's to clear.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "numbered")
+    path = path or scratch_path(spark, "numbered")
     ordered = df.orderBy(*[F.col(key).asc_nulls_last() for key in order])
-    ordered.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    ordered.withColumn("_place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
 
     placed = (
         spark.read.parquet(path)

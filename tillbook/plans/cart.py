@@ -67,9 +67,9 @@ def cart_totals(events: DataFrame) -> DataFrame:
     )
 
 
-def next_id(table: DataFrame, key: str) -> int:
-    """One more than the largest key; 1 for an empty table."""
-    return (table.agg(F.max(key)).first()[0] or 0) + 1
+def next_id(table: DataFrame, key: str) -> DataFrame:
+    """One row with ``next_id``: one more than the largest key, 1 for an empty table."""
+    return table.agg((F.coalesce(F.max(key), F.lit(0)) + 1).alias("next_id"))
 
 
 def rotation_cashiers(employee: DataFrame, ids: Sequence[int] = ROTATION_IDS) -> list[int]:
@@ -87,12 +87,15 @@ def assign_round_robin(numbered: DataFrame, cashiers: Sequence[int], start: int,
     return numbered.withColumn("employeeID", F.get(ids, turn))
 
 
-def number_orders(
-    new: DataFrame, cashiers: Sequence[int], first_id: int, n_existing: int, location: str = LOCATION
+#: Carts become orders oldest first.
+ORDER_OF_CARTS = ("orderDate", "order_id", "total")
+
+
+def orders_from(
+    numbered: DataFrame, cashiers: Sequence[int], first_id: int, n_existing: int, location: str = LOCATION
 ) -> DataFrame:
-    """Orders from carts (``order_id``, ``orderDate``, ``total``), oldest first: dense ids
-    from ``first_id`` and cashiers in turn after ``n_existing`` earlier orders."""
-    numbered = number_rows(new.select("order_id", "orderDate", "total"), ["orderDate", "order_id", "total"])
+    """Orders from carts numbered by ``seq`` from 0: ids from ``first_id`` and cashiers in turn after ``n_existing`` earlier
+    orders."""
     return assign_round_robin(numbered, cashiers, n_existing).select(
         (F.col("seq") + F.lit(first_id)).alias("orderID"),
         "employeeID",
@@ -109,7 +112,8 @@ def append_orders(
     """All orders with the new ones after them. One writer at a time may do this."""
     cashiers = rotation_cashiers(employee, rotation)
     count, largest = orders.agg(F.count("*"), F.max("orderID")).first()
-    added = number_orders(new, cashiers, (largest or 0) + 1, count, location)
+    numbered = number_rows(new.select("order_id", "orderDate", "total"), ORDER_OF_CARTS)
+    added = orders_from(numbered, cashiers, (largest or 0) + 1, count, location)
     casts = [F.col(f.name).cast(f.dataType) for f in orders.schema if f.name in added.columns]
     return orders.unionByName(added.select(*casts), allowMissingColumns=True)
 

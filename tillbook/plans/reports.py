@@ -31,17 +31,6 @@ from tillbook.operators.ordering import order_asc, order_desc, top_k
 from tillbook.plans.sales import line_revenue
 from tillbook.schemas import MONEY
 
-# The menu categories that have their own button.
-CATEGORIES = (
-    "Ice-Blended",
-    "Fruity Beverage",
-    "Fresh Brew",
-    "Milky Series",
-    "New Matcha Series",
-    "Non-Caffeinated",
-)
-
-
 def inventory_view(inventory: DataFrame) -> DataFrame:
     return inventory.select(
         F.col("inventoryName").alias("Ingredient"),

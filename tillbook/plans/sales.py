@@ -12,7 +12,6 @@ from tillbook.functions.predicates import ONE_DAY, in_iso_week
 from tillbook.operators.joins import (
     aggregate_by_attribute,
     orders_with_lines,
-    pair_single_rows,
     sold_lines,
     with_employee,
 )
@@ -52,23 +51,22 @@ def recipe_size(recipe: DataFrame, menu: DataFrame) -> DataFrame:
 def worst_day_top_seller(orders: DataFrame, lines: DataFrame, menu: DataFrame, week: int = 26) -> DataFrame:
     """The lowest-sales day of an ISO week and the item sold most on it.
 
-    The day enters the second part as a scalar, so the order scan gets it as a time range.
+    The day and its sales enter the second part as one scalar: a first scan of the orders finds them, and a second one gets the
+    day as a time range.
     """
     week_days = daily_sales(orders.where(in_iso_week("orderDate", week)), "sale_day")
     worst = top_k(week_days, "total_sales", 1, ["sale_day"], descending=False)
-    opening = F.col("sale_day").cast("timestamp_ntz")
-    that_day = orders.where(
-        (F.col("orderDate") >= worst.select(opening).scalar())
-        & (F.col("orderDate") < worst.select(opening + F.lit(ONE_DAY)).scalar())
-    )
+    found = worst.select(F.struct("sale_day", "total_sales")).scalar()
+    opening = found["sale_day"].cast("timestamp_ntz")
+    that_day = orders.where((F.col("orderDate") >= opening) & (F.col("orderDate") < opening + F.lit(ONE_DAY)))
     sold = aggregate_by_attribute(
         sold_lines(lines, that_day), menu, "menuID", ["menuName"],
         {"total_quantity": F.sum("quantityPurchased")},
     )
     best = top_k(sold, "total_quantity", 1, ["menuName"])
-    return pair_single_rows(worst, best).select(
-        day_month_label("sale_day").alias("lowest_sales_day"),
-        "total_sales",
+    return best.select(
+        day_month_label(found["sale_day"]).alias("lowest_sales_day"),
+        found["total_sales"].alias("total_sales"),
         F.col("menuName").alias("top_seller"),
         "total_quantity",
     )

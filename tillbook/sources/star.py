@@ -8,20 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from tillbook.schemas import MONEY, QUANTITY
 
 
-_KNOWN_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A raw table. Its file footers are read for the schema the first time only."""
-    path = f"{folder}/{table}.parquet"
-    if path not in _KNOWN_SCHEMAS:
-        _KNOWN_SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
+    """A raw table."""
+    return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillbook.schemas import LOAD_ORDER, SCHEMAS
 
 
 def create_tables(spark: SparkSession) -> None:
-    """Create the tables that do not exist yet."""
+    """Create the tables that do not exist yet, as managed tables below ``spark.sql.warehouse.dir``. On a cluster that must be a
+    folder that all executors share."""
     for name in LOAD_ORDER:
         if not spark.catalog.tableExists(name):
             spark.catalog.createTable(name, source="parquet", schema=SCHEMAS[name])
@@ -31,17 +33,36 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 CLUSTERING: dict[str, tuple[str, ...]] = {"ordertest": ("orderDate", "orderID")}
 
 
+_VERSIONS = "version string, written timestamp"
+
+
 def save_tables(tables: Mapping[str, DataFrame], root: str, version: str) -> str:
-    """Write one Parquet version of the tables; an existing version is an error."""
+    """Write one Parquet version of the tables; an existing version is an error.
+
+    The version is listed in ``root/versions`` when all its tables are there, so none is opened half-written.
+    """
     for name, table in tables.items():
         keys = CLUSTERING.get(name)
         if keys:
             table = table.repartitionByRange(*keys).sortWithinPartitions(*keys)
         table.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    listed = spark.createDataFrame([(version,)], "version string").withColumn("written", F.current_timestamp())
+    listed.write.mode("append").parquet(f"{root}/versions")
     return f"{root}/{version}"
 
 
-def open_tables(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
+def latest_version(spark: SparkSession, root: str) -> str:
+    """The version that was completed last."""
+    return spark.read.schema(_VERSIONS).parquet(f"{root}/versions").agg(F.max_by("version", "written")).first()[0]
+
+
+def open_tables(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a version, the latest if none is named. A version that is not complete is an error."""
+    version = version or latest_version(spark, root)
+    complete = spark.read.schema(_VERSIONS).parquet(f"{root}/versions").where(F.col("version") == version)
+    if complete.isEmpty():
+        raise ValueError(f"version {version} under {root} is not complete")
     return {
         name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{version}/{name}") for name in LOAD_ORDER
     }

@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+def in_one_process(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def local_by_default(spark: SparkSession) -> bool:
+    """Whether a path without a scheme is one on the machine's own disk."""
+    named = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return named.lower().startswith("file:")
+
+
+def check_shared(folder: str, master: str, local_paths: Callable[[], bool]) -> None:
+    """Refuse a folder that each machine of a cluster would look for on its own disk.
+
+    That is a path without a scheme where such paths are local, and ``file:`` on a master of several machines.
+    ``local-cluster[..]`` runs its executors on one machine, so there ``file:`` is shared, but it has to be said.
+    """
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", folder)
+    named = scheme[1].lower() if scheme else None
+    on_one_machine = in_one_process(master) or (named == "file" and master.startswith("local-cluster["))
+    if not on_one_machine and (named == "file" or (named is None and local_paths())):
+        raise ValueError(f"spark.checkpoint.dir {folder} is a machine's own disk; name a folder that all executors share")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may leave it unset; it then gets one temporary folder.
+    Only a session in one process (``local`` or ``local[..]``) may leave it unset; it then gets one temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if configured:
+        check_shared(configured, context.master, lambda: local_by_default(spark))
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not in_one_process(context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tillbook-")

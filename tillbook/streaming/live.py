@@ -1,99 +1,106 @@
-"""Live versions of the day reports, and order intake from a stream."""
+"""Live versions of the day reports, and order intake from a stream.
+
+No order is ever dropped for being late: nothing here has a watermark or keeps state in memory. Each micro-batch
+writes a folder ``batch=n`` of its own, which it replaces if it runs again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tillbook.functions.columns import ColumnOrName, col
 from tillbook.functions.numbers import sum0
 from tillbook.functions.predicates import non_empty_orders
-from tillbook.plans.cart import LOCATION, ROTATION_IDS, number_orders, rotation_cashiers
-
-
-_EPOCH = "1970-01-01 00:00:00"
-
-
-def as_instant(ts: ColumnOrName) -> Column:
-    """A zone-free time as the instant that shows it in UTC, whatever the session zone."""
-    time = col(ts)
-    day_seconds = F.hour(time) * 3600 + F.minute(time) * 60
-    micros = (F.date_part(F.lit("SECONDS"), time) * 1_000_000).cast("bigint")
-    return F.timestamp_micros(
-        (F.unix_date(F.to_date(time)).cast("bigint") * 86_400 + day_seconds) * 1_000_000 + micros
-    )
-
-
-def as_local(instant: ColumnOrName) -> Column:
-    """The reverse of :func:`as_instant`."""
-    seconds = (F.unix_micros(col(instant)) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
-    return F.lit(_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
-
-
-def with_event_time(orders: DataFrame, lateness: str) -> DataFrame:
-    """Add a watermarked ``event_time``. Watermarks need an instant, order times have no zone;
-    hours and days of the instants start where those of the order times do."""
-    return orders.withColumn("event_time", as_instant("orderDate")).withWatermark("event_time", lateness)
-
-
-def live_hourly_sales(orders: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Sales and orders per hour. An hour's orders are combined in the map tasks first, so the
+from tillbook.operators.sequence import number_rows
+from tillbook.plans.cart import LOCATION, ORDER_OF_CARTS, ROTATION_IDS, orders_from, rotation_cashiers
+from tillbook.schemas import MONEY, SCHEMAS
+
+Partials = Callable[[DataFrame], DataFrame]
+
+_PARTIAL_SUMS = [T.StructField("totalSales", T.DecimalType(38, 2)), T.StructField("totalOrders", T.LongType())]
+HOURS = T.StructType([T.StructField("hourStart", T.TimestampNTZType()), *_PARTIAL_SUMS])
+DAYS = T.StructType(
+    [
+        T.StructField("day", T.DateType()),
+        *_PARTIAL_SUMS,
+        T.StructField("firstOrder", T.TimestampNTZType()),
+        T.StructField("lastOrder", T.TimestampNTZType()),
+    ]
+)
+#: Where the ids of carts without a time are kept.
+_NO_DAY = dt.date(1970, 1, 1)
+_COUNTERS = "next_id bigint, n_orders bigint"
+
+
+def hour_partials(orders: DataFrame) -> DataFrame:
+    """Sales and orders of each hour among these orders. An hour's orders are combined in the map tasks first, so the
     current hour is no hot spot."""
-    hours = with_event_time(orders, lateness).groupBy(F.window("event_time", "1 hour").alias("span"))
-    return hours.agg(F.sum("orderTotal").alias("totalSales"), F.count("*").alias("totalOrders")).select(
-        as_local("span.start").alias("hourStart"), "totalSales", "totalOrders"
+    hour = F.date_trunc("hour", "orderDate").cast("timestamp_ntz").alias("hourStart")
+    return orders.groupBy(hour).agg(
+        F.sum("orderTotal").cast("decimal(38,2)").alias("totalSales"), F.count("*").alias("totalOrders")
     )
 
 
-def live_day_totals(orders: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Sales, orders, first and last order of each day."""
-    days = with_event_time(orders, lateness).groupBy(F.window("event_time", "1 day").alias("span"))
-    return days.agg(
-        sum0("orderTotal").alias("totalSales"),
+def day_partials(orders: DataFrame) -> DataFrame:
+    """Sales, orders, first and last order of each day among these orders."""
+    return orders.groupBy(F.to_date("orderDate").alias("day")).agg(
+        F.sum("orderTotal").cast("decimal(38,2)").alias("totalSales"),
         F.count("orderID").alias("totalOrders"),
         F.min("orderDate").alias("firstOrder"),
         F.max("orderDate").alias("lastOrder"),
-    ).select(
-        F.to_date(as_local("span.start")).alias("day"),
-        "totalSales", "totalOrders", "firstOrder", "lastOrder",
     )
 
 
-def start_report(report: DataFrame, mode: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write a live report below ``path``, one folder per micro-batch.
+def start_report(orders: DataFrame, partials: Partials, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the partial results of every micro-batch of ``orders`` below ``path``; a reader merges them.
 
-    A micro-batch that runs again replaces its own folder.
+    What is written grows with the orders, not with the number of batches, and a late order counts like any other.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        partials(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        report.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(write)
-        .start()
+    return _start(orders, write, checkpoint, trigger)
+
+
+def hourly_sales(spark: SparkSession, path: str) -> DataFrame:
+    """Sales and orders per hour from the partials so far; no rows before the first batch."""
+    return _written(spark, path, HOURS).groupBy("hourStart").agg(
+        F.sum("totalSales").cast(MONEY).alias("totalSales"), F.sum("totalOrders").alias("totalOrders")
+    )
+
+
+def day_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Sales, orders, first and last order of each day from the partials so far; no rows before the first batch."""
+    return _written(spark, path, DAYS).groupBy("day").agg(
+        sum0("totalSales").cast(MONEY).alias("totalSales"),
+        F.sum("totalOrders").alias("totalOrders"),
+        F.min("firstOrder").alias("firstOrder"),
+        F.max("lastOrder").alias("lastOrder"),
     )
 
 
-def latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest row per key of a report written in update or complete mode."""
-    written = spark.read.parquet(path)
-    values = [name for name in written.columns if name not in (key, "batch")]
-    newest = written.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("row"))
-    return newest.select(key, "row.*")
+def accepted_orders(spark: SparkSession, path: str) -> DataFrame:
+    """All orders that an intake has written below ``path`` so far; no rows before the first batch."""
+    return _written(spark, f"{path}/orders", SCHEMAS["ordertest"])
 
 
-def distinct_carts(carts: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Carts with repeated deliveries dropped, as long as they arrive within ``lateness``.
+def distinct_carts(carts: DataFrame) -> DataFrame:
+    """One row per ``order_id``: the earliest, then the smallest. Carts without an id can't repeat, so all stay.
 
-    Repeats pass the state row by row; none are gathered, however many one cart has.
+    Repeats are combined in the map tasks, so one cart that is sent again and again is not gathered.
     """
-    return with_event_time(carts, lateness).dropDuplicatesWithinWatermark(["order_id"]).drop("event_time")
+    fields = [c for c in carts.columns if c != "order_id"]
+    first = F.struct("orderDate", *[c for c in fields if c != "orderDate"])
+    known = carts.where("order_id is not null").groupBy("order_id").agg(F.min(first).alias("_first"))
+    kept = known.select("order_id", *[F.col(f"_first.{c}").alias(c) for c in fields])
+    return kept.unionByName(carts.where("order_id is null").select("order_id", *fields))
 
 
 def start_intake(
@@ -104,41 +111,66 @@ def start_intake(
     checkpoint: str,
     rotation: Sequence[int] = ROTATION_IDS,
     location: str = LOCATION,
-    lateness: str = "1 hour",
     **trigger,
 ) -> StreamingQuery:
-    """Number the carts of a stream as orders that follow ``orders``.
+    """Number the carts of a stream as orders that follow ``orders``. Every cart with lines becomes one order, whatever its time.
 
-    Micro-batch ``n`` is first written as received, so that the stream's state is read once,
-    and then numbered to ``path/orders/batch=n``. The next free id and the number of orders
-    after it go to ``path/counters/batch=n``. A micro-batch that runs again starts from the same
-    counters and replaces its own output, so ids stay dense and unique.
+    A cart that comes again, in the same batch or a later one, is known by its id and the day of its order:
+    the ids that micro-batch ``n`` accepts go to ``path/accepted/batch=n``, by day, and a batch reads those of its own
+    days that earlier batches wrote. Orders go to ``path/orders/batch=n``; the next free id and the number of
+    orders after it to ``path/counters/batch=n``. A micro-batch that runs again starts from the same counters, does not see its
+    own ids, and replaces its own output, so ids stay dense and unique.
+
+    The numbering needs the batch once more as a table: ``path/numbered``, which the next batch replaces.
     """
     spark = carts.sparkSession
     cashiers = rotation_cashiers(employee, rotation)
     n_before, largest = orders.agg(F.count("*"), F.max("orderID")).first()
+    kind = {f.name: f.dataType for f in SCHEMAS["ordertest"]}
+    known = T.StructType([carts.schema["order_id"], T.StructField("day", T.DateType())])
+    day = F.coalesce(F.to_date("orderDate"), F.lit(_NO_DAY)).alias("day")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch={batch_id}"
         if batch_id == 0:
             first_id, n_existing = (largest or 0) + 1, n_before
         else:
-            first_id, n_existing = spark.read.parquet(f"{path}/counters/batch={batch_id - 1}").first()
-        non_empty_orders(batch).write.mode("overwrite").parquet(f"{path}/received/{folder}")
-        received = spark.read.parquet(f"{path}/received/{folder}")
-        added = received.count()
-        if added:
-            numbered = number_orders(received, cashiers, first_id, n_existing, location)
-            numbered.write.mode("overwrite").parquet(f"{path}/orders/{folder}")
-        counters = spark.createDataFrame(
-            [(first_id + added, n_existing + added)], "next_id bigint, n_orders bigint"
-        )
+            counters = spark.read.schema(_COUNTERS).parquet(f"{path}/counters/batch={batch_id - 1}")
+            first_id, n_existing = counters.first()
+        new = distinct_carts(non_empty_orders(batch).select("order_id", "orderDate", "total"))
+        new = new.select("*", day)
+        # A day of the calendar is one row here, however many orders it has.
+        days = [row[0] for row in batch.select(day).distinct().collect()]
+        earlier = _written(batch.sparkSession, f"{path}/accepted", known, "batch").where(F.col("batch") < batch_id)
+        earlier = earlier.where(F.col("day").isin(days)).select("order_id", "day")
+        fresh = new.join(earlier, ["order_id", "day"], "left_anti")
+        numbered = number_rows(fresh, ORDER_OF_CARTS, path=f"{path}/numbered")
+        rows = orders_from(numbered, cashiers, first_id, n_existing, location)
+        rows.select([F.col(name).cast(kind[name]) for name in kind]).write.mode("overwrite").parquet(f"{path}/orders/{folder}")
+        accepted = numbered.where("order_id is not null").select("order_id", "day")
+        accepted.write.mode("overwrite").partitionBy("day").parquet(f"{path}/accepted/{folder}")
+        added = numbered.count()
+        counters = spark.createDataFrame([(first_id + added, n_existing + added)], _COUNTERS)
         counters.write.mode("overwrite").parquet(f"{path}/counters/{folder}")
 
+    return _start(carts, append, checkpoint, trigger)
+
+
+def _start(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
     return (
-        distinct_carts(carts, lateness)
-        .writeStream.option("checkpointLocation", checkpoint)
+        rows.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(append)
+        .foreachBatch(write)
         .start()
     )
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> DataFrame:
+    """What batches have written below ``path``: empty if there are none yet."""
+    full = T.StructType(schema.fields + [T.StructField(name, T.LongType()) for name in partitions])
+    try:
+        return spark.read.schema(full).option("basePath", path).parquet(f"{path}/batch=*").select(full.names)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)

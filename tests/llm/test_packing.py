@@ -1,0 +1,117 @@
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tokenizers
+
+from tillbook.llm import packing as p
+
+
+def fewest(items, capacity):
+    """The least number of sequences, by trying all."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= items[i]:
+                k = rooms.index(room)
+                go(i + 1, [*rooms[:k], room - items[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def checked(counts, capacity):
+    plan = p.plan_packing(counts, capacity)
+    filled, seen = {}, Counter()
+    for length, rank, items, first, offset, each in plan.rows:
+        assert rank == seen[length]
+        seen[length] += items
+        for i in range(items):
+            filled.setdefault(first + i // each, []).append((offset + i % each * length, length))
+    assert seen == Counter({k: n for k, n in counts.items() if n})
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(filled) == plan.sequences
+    return plan
+
+
+def test_plans_are_whole_and_close_to_the_best():
+    random.seed(1)
+    for _ in range(300):
+        capacity = random.choice([5, 10, 17, 30, 100])
+        checked({random.randint(1, capacity): random.choice([0, 1, 2, 7, 50]) for _ in range(random.randint(0, 12))}, capacity)
+    for _ in range(300):
+        capacity = random.choice([10, 17, 30])
+        items = [random.randint(1, capacity) for _ in range(random.randint(1, 9))]
+        best = fewest(items, capacity)
+        assert checked(dict(Counter(items)), capacity).sequences <= best + 1
+        # What the reduction fixes belongs to some best packing.
+        reduced = p.Plan(capacity, dict(Counter(items)))
+        p.reduce_by_dominance(reduced)
+        rest = [length for length, n in reduced.left.items() for _ in range(n)]
+        assert reduced.sequences + fewest(rest, capacity) == best
+
+
+def test_large_counts_make_no_larger_plan():
+    lengths = np.random.default_rng(0).lognormal(6.5, 1.1, 200_000).astype(int).clip(1, 2048)
+    counts = dict(Counter(lengths.tolist()))
+    one, many = p.plan_packing(counts), p.plan_packing({k: n * 10**7 for k, n in counts.items()})
+    assert len(many.rows) < 3 * len(one.rows) < 40_000
+    total = sum(k * n for k, n in counts.items())
+    assert one.sequences <= 1.002 * -(-total // 2048)
+
+
+def test_cutting():
+    assert p.cut(1) == [(0, 1)] and p.cut(2048) == [(0, 2048)] and p.cut(2049) == [(0, 1), (1, 2048)]
+    assert p.cut(4096) == [(0, 2048), (2048, 2048)]
+
+
+ODD = [(1, None), (2, ""), (3, "<|endoftext|> x"), (3, "<|endoftext|> x"), (None, "né \U0001f600\n\n  tabs\t\t"), (5, "word " * 9000)]
+
+
+def test_round_trip(docs, corpus):
+    reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    table = docs(ODD).select("doc_id", "text").union(corpus.where("doc_id >= 10").select("doc_id", "text"))
+    found = p.pack(table, keep_ids=True).collect()
+    want = Counter()
+    total = 0
+    for r in table.collect():
+        ids = np.array([*reference.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        for number, (start, length) in enumerate(p.cut(len(ids))):
+            data = ids[start : start + length].tobytes()
+            want[r.doc_id, number, start, length, zlib.crc32(data), data] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)) for r in found) == want
+    sequences = {}
+    for r in found:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)])]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+    assert len(sequences) <= 1.01 * -(-total // 2048) + 1
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "a", "\n" * 1_200_000])
+def test_long_white_space(text):
+    ids = p.encoder()(text)
+    reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert ids == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_empty_table(docs):
+    assert p.pack(docs([])).count() == 0

@@ -166,11 +166,12 @@ def design(statistics: BitStatistics, distance: int = DISTANCE) -> list[int]:
     all numbers of groups the cheapest is taken: many short groups for few fingerprints, few long ones for many.
     """
     best: tuple[float, list[int]] | None = None
-    pairs = statistics.count * max(statistics.count - 1, 0) / 2
+    count = max(statistics.count, 1)
+    pairs = count * (count - 1) / 2
     for parts in range(1, distance + 2):
         groups = group_bits(statistics.correlation(), parts)
         costs = [
-            [0.0, *(statistics.count * comb(len(g), t) + COMPARE_COST * pairs * odds for t, odds in enumerate(within))]
+            [0.0, *(count * comb(len(g), t) + COMPARE_COST * pairs * odds for t, odds in enumerate(within))]
             for g in groups
             for within in [within_odds(statistics, g, distance)]
         ]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tests.conftest import rows
+from tests.conftest import money, rows
 from tillbook.plans import sales
 from tillbook.schemas import LOAD_ORDER
 from tillbook.sources import tables
@@ -30,37 +30,22 @@ def test_weekday_sales(sql, shop):
     assert same(found, sales.sales_by_weekday(shop["ordertest"]))
 
 
-def test_category_revenue(sql, shop):
-    found = sql(
-        """SELECT m.category, COUNT(i.orderItemID), SUM(i.quantityPurchased * i.priceAtPurchase)
-           FROM orderItem i JOIN menu m ON i.menuID = m.menuID GROUP BY m.category"""
-    )
-    assert same(found, sales.revenue_by_category(shop["orderItem"], shop["menu"]))
+def test_category_revenue(shop):
+    found = rows(sales.revenue_by_category(shop["orderItem"], shop["menu"]))
+    assert found == [("Fruity Beverage", 2, money("27.50")), ("Fresh Brew", 3, money("26.00"))]
 
 
-def test_two_level_average(sql, shop):
-    found = sql(
-        """SELECT e.employeeName, CAST(ROUND(AVG(c.items), 2) AS DECIMAL(18, 2))
-           FROM employee e JOIN ordertest o ON e.employeeID = o.employeeID
-           JOIN (SELECT orderID, SUM(quantityPurchased) AS items FROM orderItem GROUP BY orderID) c
-             ON o.orderID = c.orderID
-           GROUP BY e.employeeName"""
-    )
-    assert same(found, sales.avg_items_by_employee(shop["ordertest"], shop["orderItem"], shop["employee"]))
+def test_two_level_average(shop):
+    found = rows(sales.avg_items_by_employee(shop["ordertest"], shop["orderItem"], shop["employee"]))
+    # Bo: two items in one order. Cy: one item and four items in two orders.
+    assert sorted(found) == [("Bo", money("2.00")), ("Cy", money("2.50"))]
 
 
-def test_worst_day(sql, shop):
-    found = sql(
-        """WITH daily AS (SELECT DATE(orderDate) AS d, SUM(orderTotal) AS s FROM ordertest
-                          WHERE EXTRACT(WEEK FROM orderDate) = 26 GROUP BY 1),
-                worst AS (SELECT * FROM daily ORDER BY s, d LIMIT 1),
-                best AS (SELECT m.menuName, SUM(i.quantityPurchased) AS q
-                         FROM orderItem i JOIN ordertest o ON i.orderID = o.orderID JOIN menu m ON i.menuID = m.menuID
-                         JOIN worst w ON DATE(o.orderDate) = w.d
-                         GROUP BY 1 ORDER BY q DESC, 1 LIMIT 1)
-           SELECT day_month_label(w.d), w.s, b.menuName, b.q FROM worst w JOIN best b ON TRUE"""
-    )
-    assert same(found, sales.worst_day_top_seller(shop["ordertest"], shop["orderItem"], shop["menu"]))
+def test_worst_day(shop):
+    found = rows(sales.worst_day_top_seller(shop["ordertest"], shop["orderItem"], shop["menu"]))
+    assert found == [("23 June     ", money("5.50"), "Mint Tea", money("2.00"))]
+    none = sales.worst_day_top_seller(shop["ordertest"], shop["orderItem"], shop["menu"], week=1)
+    assert rows(none) == []
 
 
 def test_money_label(sql):

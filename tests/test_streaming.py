@@ -1,6 +1,8 @@
 import datetime as dt
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import at, money, rows
 from tillbook.plans import reports
@@ -13,31 +15,90 @@ def write_batch(spark, folder, data):
     spark.createDataFrame(data, CARTS).coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_intake_over_restarts(spark, shop, tmp_path):
+@pytest.fixture
+def intake(spark, shop, tmp_path):
+    """Run the intake over what has arrived so far; give its orders as (id, employee, total)."""
     source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "check"))
+    os.makedirs(source)
 
-    def run():
-        stream = spark.readStream.schema(CARTS).parquet(source)
+    def run(data=None, **options):
+        if data is not None:
+            write_batch(spark, source, data)
+        stream = spark.readStream.schema(CARTS).options(**options).parquet(source)
         live.start_intake(stream, shop["ordertest"], shop["employee"], out, checkpoint).awaitTermination()
-        return sorted(rows(spark.read.parquet(f"{out}/orders").select("orderID", "employeeID", "orderTotal")))
+        found = live.accepted_orders(spark, out)
+        return sorted(rows(found.select("orderID", "employeeID", "orderTotal")))
 
-    first, second = at("2025-07-01T10:00:00"), at("2025-07-01T09:30:00")
-    write_batch(spark, source, [(1, first, 1, money("4.00")), (2, second, 2, money("5.00")), (3, second, 0, money("0.00"))])
-    assert run() == [(6, 3, money("5.00")), (7, 2, money("4.00"))]
-    # Cart 1 arrives once more, with a new one.
-    write_batch(spark, source, [(1, first, 1, money("4.00")), (4, first, 1, money("7.00"))])
-    assert run() == [(6, 3, money("5.00")), (7, 2, money("4.00")), (8, 3, money("7.00"))]
+    run.source, run.out, run.checkpoint = source, out, checkpoint
+    return run
 
 
-def order_stream(spark, shop, folder):
-    shop["ordertest"].repartition(2).write.parquet(folder)
-    return spark.readStream.schema(shop["ordertest"].schema).parquet(folder)
+FIRST, SECOND = at("2025-07-01T10:00:00"), at("2025-07-01T09:30:00")
 
 
-def test_live_day_totals_equal_the_z_report(spark, shop, tmp_path):
-    report = live.live_day_totals(order_stream(spark, shop, str(tmp_path / "in")))
-    live.start_report(report, "update", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    days = {r["day"]: r for r in live.latest_rows(spark, str(tmp_path / "out"), "day").collect()}
+def test_intake_over_restarts(intake):
+    begin = [(1, FIRST, 1, money("4.00")), (2, SECOND, 2, money("5.00")), (3, SECOND, 0, money("0.00"))]
+    assert intake(begin) == [(6, 3, money("5.00")), (7, 2, money("4.00"))]
+    # Cart 1 arrives once more, twice, with a new one and one that is a month late.
+    late = (5, at("2025-06-01T08:00:00"), 1, money("1.00"))
+    again = [(1, FIRST, 1, money("4.00"))] * 2 + [(4, FIRST, 1, money("7.00")), late]
+    assert intake(again) == [
+        (6, 3, money("5.00")), (7, 2, money("4.00")), (8, 3, money("1.00")), (9, 2, money("7.00")),
+    ]
+    assert len(intake([late, (2, SECOND, 2, money("5.00"))])) == 4
+
+
+def test_carts_without_id_or_time_all_stay(intake):
+    odd = [(None, FIRST, 1, money("1.00"))] * 2 + [(8, None, 1, money("2.00"))]
+    assert [r[2] for r in intake(odd)] == [money("1.00"), money("1.00"), money("2.00")]
+    assert len(intake([(None, FIRST, 1, money("1.00")), (8, None, 1, money("2.00"))])) == 4
+
+
+def test_unordered_micro_batches_lose_nothing(spark, intake):
+    times = [at("2025-07-01T00:00:00") + dt.timedelta(hours=(i * 37) % 96) for i in range(60)]
+    data = [(i, t, 1, money("1.00")) for i, t in enumerate(times)]
+    for part in range(10):
+        write_batch(spark, intake.source, data[part::10] + data[:3])
+    found = intake(maxFilesPerTrigger=1)
+    assert [r[0] for r in found] == list(range(6, 66))
+    assert sum(name.startswith("batch=") for name in os.listdir(f"{intake.out}/orders")) == 10
+    # Ten micro-batches leave the intermediate table of one.
+    assert set(os.listdir(intake.out)) == {"orders", "accepted", "counters", "numbered"}
+    assert spark.read.parquet(f"{intake.out}/numbered").count() <= 9
+
+
+def test_a_batch_that_runs_again_changes_nothing(intake):
+    first = [(1, FIRST, 1, money("4.00")), (2, SECOND, 2, money("5.00"))]
+    intake(first)
+    once = intake([(3, SECOND, 1, money("6.00")), (1, FIRST, 1, money("4.00"))])
+    os.remove(f"{intake.checkpoint}/commits/1")
+    for name in os.listdir(f"{intake.checkpoint}/commits"):
+        if name.startswith(".1."):
+            os.remove(f"{intake.checkpoint}/commits/{name}")
+    assert intake() == once
+
+
+def test_repeats_are_combined_before_the_shuffle(spark):
+    carts = spark.range(10_000).select(F.lit(1).alias("order_id"), F.lit(FIRST).alias("orderDate"), F.lit(money("1.00")).alias("total"))
+    plan = live.distinct_carts(carts)._jdf.queryExecution().executedPlan().toString()
+    assert live.distinct_carts(carts).count() == 1 and plan.count("partial_min") == 1
+
+
+def order_stream(spark, shop, folder, files=4):
+    """The shop's orders in files of their own, latest first."""
+    for part in range(files):
+        some = shop["ordertest"].orderBy(F.col("orderDate").desc()).where(F.col("orderID") % files == part)
+        some.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(shop["ordertest"].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_live_day_totals_equal_the_z_report(spark, shop, tmp_path, conf, zone):
+    conf(spark__sql__session__timeZone=zone)
+    out = str(tmp_path / "out")
+    stream = order_stream(spark, shop, str(tmp_path / "in"))
+    live.start_report(stream, live.day_partials, out, str(tmp_path / "check")).awaitTermination()
+    days = {r["day"]: r for r in live.day_totals(spark, out).collect()}
     assert len(days) == 3
     for day, row in days.items():
         batch = reports.z_report(shop["ordertest"], day).first()
@@ -46,23 +107,21 @@ def test_live_day_totals_equal_the_z_report(spark, shop, tmp_path):
 
 
 def test_live_hours_equal_the_x_report(spark, shop, tmp_path):
-    report = live.live_hourly_sales(order_stream(spark, shop, str(tmp_path / "in")))
-    live.start_report(report, "complete", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    hours = live.latest_rows(spark, str(tmp_path / "out"), "hourStart")
+    out = str(tmp_path / "out")
+    stream = order_stream(spark, shop, str(tmp_path / "in"))
+    live.start_report(stream, live.hour_partials, out, str(tmp_path / "check")).awaitTermination()
+    hours = live.hourly_sales(spark, out)
     day = sorted(rows(hours.where("date(hourStart) = '2025-06-23'").select("hourStart", "totalSales")))
     expected = rows(reports.x_report_hourly(shop["ordertest"], dt.date(2025, 6, 23)))
     assert [(f"{hour:%H:00}", total) for hour, total in day] == expected
+    # Partials are written once: five orders, each in an hour of its own or together with one of its batch.
+    assert spark.read.parquet(out).count() <= 5
 
 
-@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
-def test_streams_do_not_depend_on_the_session_zone(spark, shop, tmp_path, conf, zone):
-    conf(spark__sql__session__timeZone=zone)
-    times = [at("2025-03-09T02:30:00.123456"), at("2025-11-02T01:30:00"), at("1969-12-31T23:59:59.5")]
-    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
-    assert [r[0] for r in rows(df.select(live.as_local(live.as_instant("t"))))] == times
-    report = live.live_day_totals(order_stream(spark, shop, str(tmp_path / "in")))
-    live.start_report(report, "update", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    days = live.latest_rows(spark, str(tmp_path / "out"), "day")
-    assert sorted(rows(days.select("day", "totalOrders"))) == [
-        (dt.date(2025, 6, 23), 3), (dt.date(2025, 6, 24), 1), (dt.date(2025, 6, 25), 1),
-    ]
+def test_before_the_first_batch(spark, shop, tmp_path):
+    os.makedirs(tmp_path / "in")
+    stream = spark.readStream.schema(shop["ordertest"].schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    live.start_report(stream, live.day_partials, out, str(tmp_path / "check")).awaitTermination()
+    assert live.day_totals(spark, out).count() == live.hourly_sales(spark, out).count() == 0
+    assert live.accepted_orders(spark, out).count() == 0

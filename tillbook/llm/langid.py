@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import row_function, stored
+from tillbook.llm.common import likely_members, row_function, stored
 
 #: Labelled documents of a language that the text model is fitted to at most.
 TRAIN_ROWS = 5_000
@@ -82,7 +82,9 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
         .select("doc_id", "lang")
         .distinct()
     )
-    sample = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
+    chosen = stored(chosen, "langid-sample")
+    likely = likely_members(docs.select("doc_id", "lang", "text"), chosen, "doc_id")
+    sample = likely.join(chosen, ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -250,6 +250,9 @@ QUERIES: dict[str, str] = {
         select cast(coalesce(sum(orderTotal), 0) as double) as totalRevenue, count(*) as totalOrders
         from pos_ticks
         where orderDate >= timestamp '2024-01-10 09:00:00' and orderDate < timestamp '2024-01-12 17:00:00'""",
+    "f13_reversed_range": """
+        select cast(coalesce(sum(orderTotal), 0) as double) as totalRevenue, count(*) as totalOrders
+        from pos_ticks where orderDate >= timestamp '2024-01-12' and orderDate < timestamp '2024-01-10'""",
     "r09_x_report_hourly": """
         select lpad(cast(hour(orderDate) as varchar), 2, '0') || ':00' as hour,
                cast(sum(orderTotal) as double) as totalSales

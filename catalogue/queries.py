@@ -205,6 +205,14 @@ def r08_window_totals(spark, d):
     )
 
 
+@query
+def f13_reversed_range(spark, d):
+    """A range that ends before it starts is allowed where the screen allows it, and holds nothing."""
+    start, end = dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 10)
+    predicates.check_range(start.date(), end.date())
+    return reports.window_totals(star.ticks(spark, d), start, end)
+
+
 @query
 def r09_x_report_hourly(spark, d):
     return reports.x_report_hourly(star.ticks(spark, d), DAY)

@@ -62,6 +62,20 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
 
 
+_PLACES = 1 << 40
+
+
+def hash_place(key: str) -> Column:
+    """A place for each key that spreads evenly whatever the keys are; samples take the first places."""
+    return F.pmod(F.xxhash64(key), F.lit(_PLACES))
+
+
+def among_first(key: str, rows: int, n: Column) -> Column:
+    """True for about twice ``rows`` of ``n`` rows, those with the first places: among them the first ``rows`` are then sought by a
+    sort that is no larger in a large corpus. Of up to twice ``rows`` all are taken."""
+    return hash_place(key) * n.cast("double") <= F.lit(2.0 * rows * _PLACES)
+
+
 #: Bits of a filter of ids: 4 MB, whatever their number.
 FILTER_BITS = 25
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import likely_members, row_function, stored
+from tillbook.llm.common import among_first, hash_place, likely_members, row_function, stored
 
 #: Labelled documents of a language that the text model is fitted to at most.
 TRAIN_ROWS = 5_000
@@ -68,19 +68,20 @@ class TextModel:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
-    """A trigram model from the ``lang`` of at most ``rows`` documents of each language, those whose ids have the smallest hashes.
+    """A trigram model from the ``lang`` of at most ``rows`` documents of each language, those whose ids hash to the first places.
 
-    Spark keeps that many rows of a language in each task before it shuffles them, so a language with most of the documents
-    gathers no more than others. Documents without lang, id or text are not learned from.
+    The size of each language gives the share of places to look at, so that about twice ``rows`` ids of a language
+    are sorted, however many documents it has. Documents without lang, id or text are not learned from.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("lang").orderBy(hash_place("doc_id"), "doc_id")
+    known = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null").distinct()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     chosen = (
-        docs.select("doc_id", "lang")
-        .where("doc_id is not null and lang is not null")
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= rows)
+        known.join(sizes, "lang")
+        .where(among_first("doc_id", rows, F.col("n")))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= rows)
         .select("doc_id", "lang")
-        .distinct()
     )
     chosen = stored(chosen, "langid-sample")
     likely = likely_members(docs.select("doc_id", "lang", "text"), chosen, "doc_id")

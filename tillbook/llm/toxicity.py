@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import row_function
+from tillbook.llm.common import among_first, hash_place, row_function
 
 #: Features are hashed to 2**BITS places, which bounds the weights whatever the corpus holds.
 BITS = 20
@@ -62,16 +62,19 @@ def hashed_features(text: str | None, bits: int = BITS) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` labelled documents as (doc_id, toxic, features), one for each doc_id.
 
-    The ids with the smallest hashes are taken, and none whose crc32 leaves 0 when divided by 5. Of several labels of
+    The ids that hash to the first places are taken, and none whose crc32 leaves 0 when divided by 5. Of several labels of
     a document the largest counts; null ids and null labels do not.
     """
     key = F.col("doc_id").cast("long")
-    ids = (
+    labelled = (
         labels.select(key.alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+        .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+    )
+    ids = (
+        labelled.where(among_first("doc_id", rows, labelled.select(F.count("*")).scalar()))
+        .orderBy(hash_place("doc_id"), "doc_id")
         .limit(rows)
     )
     places = row_function(T.BinaryType(), lambda: lambda text: np.unique(hashed_features(text)).tobytes())

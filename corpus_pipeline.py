@@ -34,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences and offsets."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -115,3 +115,28 @@ def test_long_white_space(text):
 
 def test_empty_table(docs):
     assert p.pack(docs([])).count() == 0
+
+
+END_OF_TEXT = [
+    (1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>\n\n y "), (4, "<|endoftext| >"),
+    (5, "word " * 3000 + "<|endoftext|>" + " tail" * 3000), (6, "plain"),
+]
+
+
+def test_queries_give_added_tokens_their_ids(spark, docs, tmp_path):
+    import corpus_pipeline
+    from tillbook.llm import queries
+
+    reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = p.encoder(added=True)
+    want = Counter()
+    for i, text in END_OF_TEXT:
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert encode(text) == ids
+        ids = np.array([*ids, 0], "<u4")
+        want.update((i, n, a, k, zlib.crc32(ids[a : a + k].tobytes())) for n, (a, k) in enumerate(p.cut(len(ids))))
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    table = docs(END_OF_TEXT)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    for packed in (queries.op8_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, table, str(tmp_path))):
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed.collect()) == want

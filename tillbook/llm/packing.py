@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
@@ -30,18 +32,19 @@ VOCABULARY = "byte_bpe_50k"
 # --- Tokens and pieces ------------------------------------------------------------------------
 
 
-def encoder(vocabulary: str = VOCABULARY):
-    """A function from a text to the ids that tokenizers gives with this vocabulary's JSON file, special strings taken as text.
+def encoder(vocabulary: str = VOCABULARY, added: bool = False):
+    """A function from a text to the ids that tokenizers gives with this vocabulary's JSON file. With ``added``, the file's added
+    tokens (<|endoftext|>) in a text are their own ids, as tokenizers has it by default; without, they are text like any other.
 
-    The same vocabulary as ranks gives the same ids in a fifth of the time. It gives up on very long runs of white
-    space; those texts take the JSON file.
+    The same vocabulary as ranks gives the same ids in a fifth of the time, but knows no added tokens: texts are split at those
+    first. It gives up on very long runs of white space; those parts take the JSON file.
     """
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow: list[tokenizers.Tokenizer] = []
 
-    def encode(text: str) -> list[int]:
+    def encode_plain(text: str) -> list[int]:
         try:
             return fast.encode_ordinary(text)
         except BaseException as failure:  # a panic of the library is no Exception
@@ -52,16 +55,39 @@ def encoder(vocabulary: str = VOCABULARY):
             slow[0].encode_special_tokens = True
         return slow[0].encode(text, add_special_tokens=False).ids
 
+    own = added_tokens(vocabulary) if added else {}
+    if not own:
+        return encode_plain
+    split = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split
+
+    def encode(text: str) -> list[int]:
+        parts = split(text)
+        if len(parts) == 1:
+            return encode_plain(text)
+        return [i for k, part in enumerate(parts) if part for i in ([own[part]] if k % 2 else encode_plain(part))]
+
     return encode
 
 
+def added_tokens(vocabulary: str = VOCABULARY) -> dict[str, int]:
+    """The added tokens of the vocabulary's JSON file and their ids."""
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for token in tokens:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"{vocabulary}: {token['content']} is not found by its characters alone")
+    return {token["content"]: token["id"] for token in tokens}
+
+
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: one if it fits, else full ones, of which the first may be shorter."""
     first = length % capacity or min(length, capacity)
     return [(0, first), *((start, capacity) for start in range(first, length, capacity))]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, keep_ids: bool = False, added: bool = False
+) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and ``ids`` (unsigned little-endian
     32-bit) if asked for.
 
@@ -72,7 +98,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     schema = T.StructType(fields)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added)
         seen = np.zeros(capacity + 1, np.int64)
         chunk = TaskContext.get().partitionId()
         for batch in batches:
@@ -247,17 +273,20 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 # --- From the plan to the pieces --------------------------------------------------------------
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, keep_ids: bool = False, added: bool = False
+) -> DataFrame:
     """Every piece of every document with its sequence and its offset there.
 
     Documents are tokenized and cut once, and the pieces written to the shared folder. The driver sees one count for each
     length, at most ``capacity`` of them, and plans on those. The pieces of a length are numbered through all tasks
     (place in the task, and a running sum over the tasks' counts), and a piece's number finds its row of the plan.
 
+    With ``added``, added tokens of the vocabulary in a text are their own ids (see ``encoder``); the queries ask for that.
     A null or empty text is its end mark alone. Null doc_ids and repeated rows are packed like any other. Equal
     lengths may change places between runs. An empty table gives no rows. Other columns than doc_id and text are not used.
     """
-    cut_up = stored(pieces(docs, capacity, vocabulary, keep_ids), "packing-pieces")
+    cut_up = stored(pieces(docs, capacity, vocabulary, keep_ids, added), "packing-pieces")
     counts = cut_up.groupBy("chunk", "length").agg((F.max("place") + 1).alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(

@@ -41,7 +41,7 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(table(spark, folder, "documents"), added=True)
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

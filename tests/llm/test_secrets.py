@@ -82,3 +82,20 @@ def test_redaction(docs):
     assert rows[1].text == "[secret]'" and rows[1].n_chars == len("[secret]'")
     assert rows[2].text is None and (rows[3].text, rows[3].n_chars) == ("clean", 7)
     assert rows[4].text == "[secret] [secret]" and s.redact(table).columns == table.columns
+
+
+def test_a_placeholder_hides_its_own_part_alone(docs):
+    allow = [re.compile(p) for p in s.ALLOW]
+    key = RANDOM + "yZ9"
+    for head, tail in (("sample_key=", ""), ("/example/", ""), ("", "/example"), ("x=0123456789/", "=xxxx"), ("dummy/" * 20, "")):
+        assert s.scan_text(head + key + tail, allow) == [("entropy", len(head), len(head) + len(key))]
+    random.seed(6)
+    letters = [chr(c) for c in range(48, 123) if chr(c).isalnum()]
+    blob = "".join(random.choice(letters) for _ in range(3000))
+    text = f"{blob}xxxx{blob}"
+    found = s.scan_text(text, allow)
+    assert {k for k, _, _ in found} == {"entropy"} and sum(b - a for _, a, b in found) > 5500
+    assert not any(a < 3004 and b > 3000 for _, a, b in found)
+    assert s.scan_text(f"/a/{RANDOM}example/b", allow) == []
+    (row,) = s.redact(docs([(1, f"sample_key={key}")])).collect()
+    assert key not in row.text

@@ -30,13 +30,16 @@ CLASSES = {
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.0, (str.isdigit, str.isupper, str.islower)),
 }
 
-#: What looks random but is no secret: placeholders, alphabets, UUIDs. Matched anywhere in a candidate.
+#: What looks random but is no secret: placeholders, alphabets, UUIDs. A match stands for the part between separators it lies in.
 ALLOW = (
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0{8}",
     r"(?i)abcdefghij|0123456789|qwertyuiop",
     r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])",
 )
 
+#: Separators of paths and assignments, and the longest part between them that a placeholder makes one as a whole.
+_SEPARATORS, PLACEHOLDER_CHARS = "/=", 64
+
 SPAN = T.StructType(
     [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
 )
@@ -75,6 +78,25 @@ def entropy_windows(run: str, window: int, least: float, needs: Sequence = ()) -
     return found
 
 
+def allowed_zones(run: str, allow: Sequence[re.Pattern]) -> list[tuple[int, int]]:
+    """Merged spans of ``run`` that matches of ``allow`` stand for: the part between separators, or the match alone if that part
+    is longer than a placeholder, such as a blob."""
+    found = []
+    for start, end in sorted(m.span() for pattern in allow for m in pattern.finditer(run)):
+        low = max(run.rfind(c, max(0, start - PLACEHOLDER_CHARS), start) for c in _SEPARATORS) + 1
+        ends = [at for c in _SEPARATORS if (at := run.find(c, end, end + PLACEHOLDER_CHARS)) >= 0]
+        low = low or (0 if start <= PLACEHOLDER_CHARS else start - PLACEHOLDER_CHARS - 1)
+        high = min(ends, default=min(len(run), end + PLACEHOLDER_CHARS + 1))
+        if high - low <= PLACEHOLDER_CHARS:
+            # With the separators beside it, so that no span takes them in.
+            start, end = max(low - 1, 0), min(high + 1, len(run))
+        if found and start <= found[-1][1]:
+            found[-1] = (min(start, found[-1][0]), max(end, found[-1][1]))
+        else:
+            found.append((start, end))
+    return found
+
+
 def scan_text(text: str, allow: Sequence[re.Pattern] = ()) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, by start and then kind."""
     spans = []
@@ -88,12 +110,14 @@ def scan_text(text: str, allow: Sequence[re.Pattern] = ()) -> list[tuple[str, in
             spans += [(kind, *m.span()) for m in pattern.finditer(text, *run.span()) if len(m[0]) >= least]
     taken = [(start, end) for _, start, end in spans]
     for run in candidates:
-        if any(pattern.search(run[0]) for pattern in allow):
-            continue
+        zones = allowed_zones(run[0], allow)
+        # What lies between the zones: a window in none of these overlaps a zone.
+        between = zip([0, *(end for _, end in zones)], [*(start for start, _ in zones), len(run[0])])
         windows = {
             (run.start() + part.start() + start, run.start() + part.start() + end)
+            for a, b in between
             for chars, width, least, needs in CLASSES.values()
-            for part in chars.finditer(run[0])
+            for part in chars.finditer(run[0], a, b)
             for start, end in entropy_windows(part[0], width, least, needs)
         }
         kept: list[tuple[int, int]] = []
@@ -122,7 +146,7 @@ def find_secrets(docs: DataFrame, allow: Sequence[str] = ALLOW) -> DataFrame:
     """``docs`` with ``secret_spans``: the secrets of each text, by start and then kind.
 
     Three kinds are patterns: ``assign``, ``access``, ``hex``. ``entropy`` adds the windows of long candidate strings whose
-    characters, within one class, are as mixed as random ones, unless the candidate matches ``allow`` or
+    characters, within one class, are as mixed as random ones, unless the window overlaps what ``allow`` stands for or
     another span holds the window. A null or empty text has none; equal rows get equal spans. Other
     columns stay; one named ``secret_spans`` is replaced.
     """

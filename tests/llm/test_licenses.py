@@ -68,3 +68,17 @@ def test_neighbouring_diagonals_are_one():
 
 def test_empty_table(docs):
     assert lic.digest(docs([])).count() == 0
+
+
+def test_many_words_put_in_or_left_out_at_one_place(docs):
+    words = MIT.split()
+    middle = len(words) // 2
+    into = lambda extra: " ".join([*words[:middle], *extra, *words[middle:]])
+    header = [f"page{i}" for i in range(8)]
+    texts = [into(header), into(header[:4]), " ".join(words[:middle] + words[middle + 6 :]), into(header * 3)]
+    # Twice in a row, and with a stray match of three words shortly after.
+    texts += [f"{into(header)} {into(header)}", MIT + " x" * 9 + " " + " ".join(words[-30:-26])]
+    found = {r.doc_id: r for r in lic.find_licenses(docs(list(enumerate(texts)))).collect()}
+    assert [[s.label for s in found[i].spans] for i in range(6)] == [["mit"], ["mit"], ["mit"], [], ["mit", "mit"], ["mit"]]
+    assert (found[0].spans[0].start, found[0].spans[0].end) == (0, len(lic.license_words(texts[0])))
+    assert found[5].spans[0].score == 1.0

@@ -140,7 +140,13 @@ class Template:
 
     @property
     def gap(self) -> int:
-        """Words put in or left out between diagonals that are still one occurrence: fewer than set two repeats apart."""
+        """Words put in or left out between diagonals that can still be one occurrence: as many as the score lets a span have
+        beyond the template's words, and fewer than set two repeats apart."""
+        return int(self.words * (1 - LEAST_SCORE) / LEAST_SCORE + 1e-9)
+
+    @property
+    def near(self) -> int:
+        """As many of them as leave no doubt."""
         return min(3, self.words // 4)
 
 
@@ -157,7 +163,7 @@ def merge_diagonals(hits: Sequence[tuple[int, int, list[int]]], templates: Seque
     """Spans (label, start, end, score) from (template, diagonal, positions matched on it).
 
     A diagonal is where the template would start in the document. Neighbouring ones are one occurrence with words put in or
-    left out. A span holds if enough of the template's words, and of its own words, are matched. Of overlapping spans with
+    left out; of the ways to join those up to ``gap`` apart, the best stays. A span holds if enough of the template's words, and of its own words, are matched. Of overlapping spans with
     different labels the one that matches best stays.
     """
     by_template: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
@@ -168,17 +174,32 @@ def merge_diagonals(hits: Sequence[tuple[int, int, list[int]]], templates: Seque
         template = templates[number]
         clusters: list[list[tuple[int, list[int]]]] = []
         for diagonal, positions in sorted(diagonals):
-            if clusters and diagonal - clusters[-1][-1][0] <= template.gap:
+            if clusters and diagonal - clusters[-1][-1][0] <= template.near:
                 clusters[-1].append((diagonal, positions))
             else:
                 clusters.append([(diagonal, positions)])
-        for cluster in clusters:
-            own = {p + k for _, positions in cluster for p in positions for k in range(width)}
-            seen = {d + p + k for d, positions in cluster for p in positions for k in range(width)}
-            start, end = min(seen), max(seen) + 1
-            score = min(len(own), len(seen)) / max(template.words, end - start)
-            if score >= LEAST_SCORE:
-                found.append((template.label, start, end, score))
+        # Clusters that are one occurrence with more words put in or left out: every row of them whose span can still hold
+        # is scored, so that a stray match nearby is left out again.
+        spans: set[tuple[str, int, int, float]] = set()
+        for first in range(len(clusters)):
+            own: set[int] = set()
+            seen: set[int] = set()
+            for place in range(first, len(clusters)):
+                if place > first and clusters[place][0][0] - clusters[place - 1][-1][0] > template.gap:
+                    break
+                own.update(p + k for _, positions in clusters[place] for p in positions for k in range(width))
+                seen.update(d + p + k for d, positions in clusters[place] for p in positions for k in range(width))
+                start, end = min(seen), max(seen) + 1
+                score = min(len(own), len(seen)) / max(template.words, end - start)
+                if score >= LEAST_SCORE:
+                    spans.add((template.label, start, end, score))
+                if end - start > template.words / LEAST_SCORE:
+                    break
+        taken: list[tuple[int, int]] = []
+        for span in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s)):
+            if all(span[2] <= a or b <= span[1] for a, b in taken):
+                taken.append(span[1:3])
+                found.append(span)
     kept: list[tuple] = []
     reach: dict[int, str] = {}
     for span in sorted(set(found), key=lambda s: (-s[3], s[1] - s[2], s)):

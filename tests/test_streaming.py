@@ -48,6 +48,14 @@ def test_intake_over_restarts(intake):
     assert len(intake([late, (2, SECOND, 2, money("5.00"))])) == 4
 
 
+def test_an_id_on_two_days_is_two_orders_in_any_batches(spark, intake):
+    cart = (1, FIRST, 1, money("4.00"))
+    other = (1, at("2025-07-02T00:10:00"), 1, money("6.00"))
+    # In one batch, each of them twice, and then again in a later one.
+    assert [r[2] for r in intake([cart, other, other, cart])] == [money("4.00"), money("6.00")]
+    assert len(intake([other, cart])) == 2
+
+
 def test_carts_without_id_or_time_all_stay(intake):
     odd = [(None, FIRST, 1, money("1.00"))] * 2 + [(8, None, 1, money("2.00"))]
     assert [r[2] for r in intake(odd)] == [money("1.00"), money("1.00"), money("2.00")]

@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -91,14 +91,18 @@ def accepted_orders(spark: SparkSession, path: str) -> DataFrame:
     return _written(spark, f"{path}/orders", SCHEMAS["ordertest"])
 
 
+def _day() -> Column:
+    return F.coalesce(F.to_date("orderDate"), F.lit(_NO_DAY)).alias("day")
+
+
 def distinct_carts(carts: DataFrame) -> DataFrame:
-    """One row per ``order_id``: the earliest, then the smallest. Carts without an id can't repeat, so all stay.
+    """One row per ``order_id`` and day of the order: the earliest, then the smallest. Carts without an id can't repeat, so all stay.
 
     Repeats are combined in the map tasks, so one cart that is sent again and again is not gathered.
     """
     fields = [c for c in carts.columns if c != "order_id"]
     first = F.struct("orderDate", *[c for c in fields if c != "orderDate"])
-    known = carts.where("order_id is not null").groupBy("order_id").agg(F.min(first).alias("_first"))
+    known = carts.where("order_id is not null").groupBy("order_id", _day()).agg(F.min(first).alias("_first"))
     kept = known.select("order_id", *[F.col(f"_first.{c}").alias(c) for c in fields])
     return kept.unionByName(carts.where("order_id is null").select("order_id", *fields))
 
@@ -128,7 +132,7 @@ def start_intake(
     n_before, largest = orders.agg(F.count("*"), F.max("orderID")).first()
     kind = {f.name: f.dataType for f in SCHEMAS["ordertest"]}
     known = T.StructType([carts.schema["order_id"], T.StructField("day", T.DateType())])
-    day = F.coalesce(F.to_date("orderDate"), F.lit(_NO_DAY)).alias("day")
+    day = _day()
 
     def append(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch={batch_id}"

@@ -99,3 +99,24 @@ def test_a_placeholder_hides_its_own_part_alone(docs):
     assert s.scan_text(f"/a/{RANDOM}example/b", allow) == []
     (row,) = s.redact(docs([(1, f"sample_key={key}")])).collect()
     assert key not in row.text
+
+
+def test_random_strings_of_every_class_are_found():
+    random.seed(7)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    upper = lower.upper()
+    for chars, length, least in (
+        (lower + digits, 40, 0.97), (upper + "234567", 40, 0.97), (lower + upper, 40, 0.97), (lower, 64, 0.9), (upper, 64, 0.9),
+        (lower + digits, 20, 0.8), (upper + "234567", 20, 0.8), (lower + upper, 20, 0.8), (lower + upper + digits, 20, 0.8),
+    ):
+        runs = ["".join(random.choice(chars) for _ in range(length)) for _ in range(200)]
+        assert sum(bool(s.scan_text(f"a {run} b")) for run in runs) >= least * 200, (chars, length)
+    for word in ("donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "INTERNATIONALIZATIONS", "path/to/some/longer/folder"):
+        assert s.scan_text(word) == []
+
+
+def test_windows_within_another_span_are_left_out():
+    text = f"{RANDOM}= token={RANDOM}/{RANDOM} {RANDOM}"
+    spans = s.scan_text(text)
+    for k, a, b in spans:
+        assert k != "entropy" or not any((a, b) != (c, d) and c <= a and b <= d for _, c, d in spans)

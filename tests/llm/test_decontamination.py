@@ -91,3 +91,16 @@ def test_pieces_cover_the_item(budget):
     item = d.Item("abcdefghijklmnopqrstuvwxyz", budget)
     pieces = list(item.pieces())
     assert len(pieces) == budget + 1 and "".join(p for _, p in pieces) == item.text and all(p for _, p in pieces)
+
+
+def test_short_items_are_sought_as_they_are(spark, docs):
+    items = [(1, "Who wrote Emma?"), (2, "法国的首都是哪里"), (3, "cat"), (4, " "), (5, "서울"), (6, "42")]
+    texts = [
+        (1, "so: who  WROTE\nemma? (Austen)"), (2, "问题：法国的首都是哪里？"), (3, "A concatenation, cats, scat"), (4, "the (Cat) sat"),
+        (5, "who wrote ema?"), (6, "서울은 크다"), (7, "1421 and 420 é42"), (8, "x=42."),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in d.contamination(docs(texts), bench).collect()}
+    assert set(found) == {(1, 1), (2, 2), (4, 3), (6, 5), (8, 6)} and all(r.distance == 0 for r in found.values())
+    assert texts[0][1][found[1, 1].start : found[1, 1].end] == "who  WROTE\nemma?"
+    assert sorted(r.doc_id for r in d.clean(docs(texts), bench).collect()) == [3, 5, 7]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from tillbook.llm.common import row_function, words_of
 
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.08
-#: Shorter items would be found by chance.
+#: Shorter items would be found by chance with edits or within words: they are sought as they are, between word borders.
 LEAST_CHARS = 20
 #: Benchmark characters that are sought in one pass over the documents.
 BLOCK_CHARS = 1_000_000
@@ -33,8 +34,11 @@ def normalized(text: str | None) -> str:
 
 @dataclass(frozen=True)
 class Item:
+    """What is sought; ``bounded`` if only between word borders."""
+
     text: str
     budget: int
+    bounded: bool = False
 
     def pieces(self) -> Iterator[tuple[int, str]]:
         """(start, piece): one piece more than the budget has edits, so that one at least is left whole."""
@@ -46,7 +50,25 @@ class Item:
 
 def item_of(text: str | None, rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> Item | None:
     text = normalized(text)
-    return Item(text, int(len(text) * rate)) if len(text) >= least else None
+    if len(text) < least:
+        return Item(text, 0, True) if text else None
+    return Item(text, int(len(text) * rate))
+
+
+#: Scripts that put no spaces between words, or endings right after them: Thai to Myanmar, Khmer, Hangul, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1100-\u11ff\u3040-\u30ff\u3130-\u318f\u31f0-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def at_borders(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on across either end."""
+
+    def within_word(before: str, after: str) -> bool:
+        both = all(c.isalnum() or unicodedata.category(c)[0] == "M" for c in (before, after))
+        return both and not _UNSPACED.match(before) and not _UNSPACED.match(after)
+
+    return not (start > 0 and within_word(text[start - 1], text[start])) and not (
+        end < len(text) and within_word(text[end - 1], text[end])
+    )
 
 
 def myers(pattern: str, text: str) -> tuple[int, int]:
@@ -129,6 +151,12 @@ class Finder:
         hits = []
         for number in sorted(hints):
             item = self.items[number]
+            if item.bounded:  # the hint is the whole item
+                size = len(item.text)
+                exact = [start for start in hints[number] if at_borders(flat, start, start + size)]
+                if exact:
+                    hits.append((number, 0, min(exact), min(exact) + size))
+                continue
             spans = [
                 (distance, low + start, low + end)
                 for low, high in windows(list(hints[number]), item, len(flat))
@@ -160,15 +188,15 @@ def original_places(text: str):
 
 
 def hits_of(text: Column, items: list[Item], spark) -> Column:
-    sent = spark.sparkContext.broadcast([(item.text, item.budget) for item in items])
+    sent = spark.sparkContext.broadcast([(item.text, item.budget, item.bounded) for item in items])
     return row_function(T.ArrayType(HIT), lambda: Finder([Item(*parts) for parts in sent.value]))(text)
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int, rate: float, least: int) -> Iterator[list[tuple]]:
-    """(item_id, Item) lists of at most about ``block_chars`` characters, each distinct (item_id, text) once. The driver
-    holds one block at a time."""
+    """(item_id, Item) lists of at most about ``block_chars`` characters (an item counts ``LEAST_CHARS`` at least), each
+    distinct (item_id, text) once. The driver holds one block at a time."""
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    total = items.agg(F.coalesce(F.sum(F.greatest(F.length("text"), F.lit(LEAST_CHARS))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -183,7 +211,7 @@ def contamination(
 
     Letter case of A-Z and white space don't count. The budget is ``rate`` times the item's characters; of several occurrences the
     closest, then the first is given, as code points of the document's text. Items of under ``least``
-    characters are not sought. A document whose text is null or empty has no row; a null item_id stays null; repeated
+    characters count only without edits and between word borders (in scripts without spaces, anywhere). A document whose text is null or empty has no row; a null item_id stays null; repeated
     documents each get their rows, repeated items count once. The benchmark is sought in blocks of bounded size, one
     pass over the documents for each.
     """

@@ -54,3 +54,17 @@ def test_rows_stay(docs):
 
 def test_limits_belong_to_lengths():
     assert q.in_band(50, 1.9) and not q.in_band(50, 2.1) and q.in_band(20_000, 3.7) and not q.in_band(20_000, 1.5)
+
+
+def test_the_last_part_is_checked_and_chunks_weigh_by_bytes(docs):
+    import base64
+
+    noise = base64.b64encode(random.Random(8).randbytes(3000)).decode()
+    prose = PROSE[:4096]
+    texts = [(1, prose + noise[:3000]), (2, noise[:3000] + prose), (3, prose + PROSE[:1500]), (4, prose * 1 + noise[:600]), (5, noise[:3000])]
+    found = {r.doc_id: r for r in q.quality_rules(docs(texts)).collect()}
+    assert len(prose) == 4096 and not found[1].kept and found[1].bad_chunks == 3000 / 7096
+    assert found[3].bad_chunks == 0 and found[4].bad_chunks < 0.2 and found[5].bad_chunks == 1
+    # Noise in a short last part weighs no more than its bytes.
+    mixed = "".join((prose, prose[::-1], noise[:2000]))
+    assert q.verdict(mixed, q.zstandard.ZstdCompressor(level=q.LEVEL).compress)["bad_chunks"] == 2000 / len(mixed)

@@ -73,9 +73,11 @@ def verdict(text: str | None, compress, bands: Sequence[tuple[int, float, float]
     n = len(words)
     repeats = repeated_words(words)
     ratio = len(data) / len(compress(data)) if data else 0.0
-    chunks = [data[at : at + chunk] for at in range(0, len(data) - chunk + 1, chunk)] if len(data) > chunk else []
-    bad = sum(not in_band(chunk, chunk / len(compress(c)), bands) for c in chunks)
-    bad_chunks = bad / len(chunks) if chunks else 0.0
+    chunks = [data[at : at + chunk] for at in range(0, len(data), chunk)]
+    # A single chunk is the whole text. The last one, shorter than the others, has the band for its own length.
+    ratios = [ratio] if len(chunks) == 1 else [len(c) / len(compress(c)) for c in chunks]
+    bad = sum(len(c) for c, r in zip(chunks, ratios) if not in_band(len(c), r, bands))
+    bad_chunks = bad / len(data) if data else 0.0
     failed = n < 10 or 100 * repeats > 20 * n
     return {
         "n_words": n,
@@ -103,8 +105,8 @@ def quality_rules(docs: DataFrame, bands: Sequence[tuple[int, float, float]] = B
 
     ``base_failed``: under 10 words, or over a fifth of them in 5-word windows that repeat. ``kept``: not failed,
     the whole text's ratio lies in the band for its length (too high: repetitive; too low: incompressible), and at most
-    a fifth of its chunks of ``chunk`` bytes lie outside theirs (a text of one chunk at most has none; a last part
-    shorter than ``chunk`` counts only in the whole). A null text counts as empty: no words, ratio 0, failed.
+    a fifth of its bytes, ``bad_chunks``, lie in chunks of ``chunk`` bytes outside theirs (the last one may be shorter and
+    has the band for its own length; a text of one chunk at most is that chunk). A null text counts as empty: no words, ratio 0, failed.
     Equal rows get equal verdicts; other columns than doc_id and text are not used.
     """
     return docs.select("doc_id", rules_of(F.col("text"), bands, chunk).alias("_rules")).select("doc_id", "_rules.*")

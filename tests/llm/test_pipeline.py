@@ -41,5 +41,5 @@ def test_run_packs_what_is_left(spark):
 def test_registered():
     names = list(entry_points.queries())
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
-    assert {"op1_warc", "op3_lm_scoring"} <= set(entry_points.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
+    assert {"op1_warc", "op3_lm_scoring", "op11_jaccard_join", "op12_merkle"} <= set(entry_points.oracle_sql())

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillbook.llm import decontamination, langid, licenses, lm_scoring, packing, quality, secrets, simhash, toxicity, warc
+from tillbook.llm import (
+    decontamination,
+    jaccard_join,
+    langid,
+    licenses,
+    lm_scoring,
+    merkle,
+    packing,
+    quality,
+    resampling,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+)
 from tillbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +66,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -63,6 +89,9 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_merkle": op12_merkle,
+    "op13_resampling": op13_resampling,
 }
 
 SQL: dict[str, str] = {
@@ -124,4 +153,99 @@ SQL: dict[str, str] = {
                round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score
         FROM (SELECT doc_id, row_number() OVER () AS row FROM documents) d LEFT JOIN loss USING (row)
     """,
+    "op11_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w
+            FROM documents
+        ),
+        s AS (
+            SELECT doc_id, row, CASE
+                WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+                ELSE []::VARCHAR[] END AS shingles
+            FROM d
+        ),
+        sizes AS (SELECT doc_id, row, coalesce(len(shingles), 0) AS n FROM s),
+        tokens AS (SELECT row, unnest(shingles) AS token FROM s),
+        numbered AS (SELECT row, dense_rank() OVER (ORDER BY token) AS token FROM tokens),
+        shared AS (
+            SELECT a.row AS a, b.row AS b, count(*) AS n FROM numbered a JOIN numbered b USING (token) WHERE a.row < b.row GROUP BY ALL
+        ),
+        links AS (
+            SELECT shared.a, shared.b FROM shared JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b
+            WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
+        ),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (
+            SELECT row AS a, row AS b FROM sizes
+            UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON l.a = r.b
+        )
+        SELECT any_value(own.doc_id) AS doc_id, any_value(own.n) AS n_shingles, min(other.doc_id) AS component_id
+        FROM reached JOIN sizes own ON own.row = a JOIN sizes other ON other.row = b
+        GROUP BY reached.a
+    """,
+    "op12_merkle": """
+        WITH RECURSIVE p AS (
+            SELECT doc_id, lang, n_chars, list_transform([doc_id::VARCHAR, source, lang], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')) AS head,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS body
+            FROM documents
+        ),
+        crc AS (
+            -- The remainder of the crc32 of each doc_id, bit by bit.
+            SELECT doc_id, list_reduce(
+                list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, byte: list_reduce(
+                    [xor(crc, byte), 1, 1, 1, 1, 1, 1, 1, 1],
+                    lambda x, one: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS c
+            FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+        ),
+        leaves AS (
+            SELECT p.doc_id, lang, sha256(array_to_string(head, '') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+                   sha256(array_to_string(head, '') || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || body) AS plus,
+                   n_chars IS NOT NULL AND coalesce(xor(c, 4294967295) % 7 = 0, FALSE) AS hit
+            FROM p LEFT JOIN crc USING (doc_id)
+        ),
+        placed AS (
+            SELECT doc_id, lang, leaf, CASE WHEN hit THEN plus ELSE leaf END AS own,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos
+            FROM leaves
+        ),
+        below AS (
+            SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY lang
+            UNION ALL
+            SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+            FROM below WHERE len(nodes) > 1
+        ),
+        subroots AS (
+            SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos
+            FROM below WHERE len(nodes) = 1
+        ),
+        above AS (
+            SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+            FROM above WHERE len(nodes) > 1
+        ),
+        root AS (SELECT nodes[1] AS root FROM above WHERE len(nodes) = 1),
+        -- All trees as one list of levels for each language: its own, then those of the subroots.
+        towers AS (
+            SELECT b.lang, b.level, b.nodes, s.pos AS upper, FALSE AS top FROM below b JOIN subroots s ON b.lang IS NOT DISTINCT FROM s.lang WHERE len(b.nodes) > 1
+            UNION ALL SELECT s.lang, a.level, a.nodes, s.pos, TRUE FROM above a, subroots s WHERE len(a.nodes) > 1
+        ),
+        steps AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY top, level) AS step, level, nodes, upper, top FROM towers),
+        walk AS (
+            SELECT row_number() OVER () AS row, doc_id, lang, leaf, pos, 0::BIGINT AS step, own AS digest, '' AS proof FROM placed
+            UNION ALL
+            SELECT row, doc_id, walk.lang, leaf, walk.pos, s.step,
+                   sha256(CASE WHEN at % 2 = 0 THEN digest || coalesce(nodes[at + 2], '') ELSE nodes[at] || digest END),
+                   proof || coalesce(CASE WHEN at % 2 = 0 THEN nodes[at + 2] ELSE nodes[at] END, '')
+            FROM walk JOIN steps s ON s.lang IS NOT DISTINCT FROM walk.lang AND s.step = walk.step + 1,
+                 LATERAL (SELECT CASE WHEN top THEN upper ELSE walk.pos END // (1 << s.level::INTEGER) AS at) place
+        ),
+        ends AS (SELECT arg_max(walk, step) AS e FROM walk GROUP BY row)
+        SELECT e.doc_id AS doc_id, e.leaf AS leaf, subroot, root, sha256(e.proof) AS proof_sha256, e.digest AS folded_root,
+               e.digest = root AS verified
+        FROM ends JOIN subroots s ON s.lang IS NOT DISTINCT FROM e.lang, root
+    """,
 }

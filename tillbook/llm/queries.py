@@ -238,10 +238,10 @@ SQL: dict[str, str] = {
             SELECT row_number() OVER () AS row, doc_id, lang, leaf, pos, 0::BIGINT AS step, own AS digest, '' AS proof FROM placed
             UNION ALL
             SELECT row, doc_id, walk.lang, leaf, walk.pos, s.step,
-                   sha256(CASE WHEN at % 2 = 0 THEN digest || coalesce(nodes[at + 2], '') ELSE nodes[at] || digest END),
-                   proof || coalesce(CASE WHEN at % 2 = 0 THEN nodes[at + 2] ELSE nodes[at] END, '')
+                   sha256(CASE WHEN spot % 2 = 0 THEN digest || coalesce(nodes[spot + 2], '') ELSE nodes[spot] || digest END),
+                   proof || coalesce(CASE WHEN spot % 2 = 0 THEN nodes[spot + 2] ELSE nodes[spot] END, '')
             FROM walk JOIN steps s ON s.lang IS NOT DISTINCT FROM walk.lang AND s.step = walk.step + 1,
-                 LATERAL (SELECT CASE WHEN top THEN upper ELSE walk.pos END // (1 << s.level::INTEGER) AS at) place
+                 LATERAL (SELECT CASE WHEN top THEN upper ELSE walk.pos END // (1 << s.level::INTEGER) AS spot) place
         ),
         ends AS (SELECT arg_max(walk, step) AS e FROM walk GROUP BY row)
         SELECT e.doc_id AS doc_id, e.leaf AS leaf, subroot, root, sha256(e.proof) AS proof_sha256, e.digest AS folded_root,

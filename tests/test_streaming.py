@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import at, money, rows
 from tillbook.plans import reports
-from tillbook.streaming import live
+from tillbook.streaming import generations, live
 
 CARTS = "order_id bigint, orderDate timestamp_ntz, n_lines int, total decimal(18,2)"
 
@@ -71,7 +71,7 @@ def test_unordered_micro_batches_lose_nothing(spark, intake):
     assert [r[0] for r in found] == list(range(6, 66))
     assert sum(name.startswith("batch=") for name in os.listdir(f"{intake.out}/orders")) == 10
     # Ten micro-batches leave the intermediate table of one.
-    assert set(os.listdir(intake.out)) == {"orders", "accepted", "counters", "numbered"}
+    assert set(os.listdir(intake.out)) == {"orders", "accepted", "numbered"}
     assert spark.read.parquet(f"{intake.out}/numbered").count() <= 9
 
 
@@ -133,3 +133,107 @@ def test_before_the_first_batch(spark, shop, tmp_path):
     live.start_report(stream, live.day_partials, out, str(tmp_path / "check")).awaitTermination()
     assert live.day_totals(spark, out).count() == live.hourly_sales(spark, out).count() == 0
     assert live.accepted_orders(spark, out).count() == 0
+
+
+# --- Generations ----------------------------------------------------------------------------
+
+
+def test_spans_grow_with_the_logarithm():
+    spans, written = (), 0
+    for n in range(1000):
+        before = (*spans, (n, n))
+        spans = generations.merged_spans(before, 8)
+        assert [x for a, b in spans for x in range(a, b + 1)] == list(range(n + 1))
+        assert len(spans) <= 7 * 4
+        written += spans[-1][1] - spans[-1][0] + 1 if spans[-1] != before[-1] else 0
+    assert written <= 1000 * 4
+
+
+def numbers_of(spark, parts):
+    return sorted(r[0] for r in spark.read.parquet(*parts.folders(parts.latest())).select("n").collect())
+
+
+def table_of_numbers(spark, path, **options):
+    parts = generations.Generations(spark, path, **options)
+
+    def write(batch):
+        def own(folder):
+            spark.createDataFrame([(batch,)], "n long").write.mode("overwrite").parquet(folder)
+            return {"last": batch}
+
+        return own
+
+    def merge(folders, folder):
+        spark.read.parquet(*folders).coalesce(1).write.mode("overwrite").parquet(folder)
+
+    return parts, lambda batch: parts.add(batch, write(batch), merge)
+
+
+def test_parts_stay_few_and_old_ones_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    parts, add = table_of_numbers(spark, path, fan_in=3, grace=2)
+    assert parts.latest().spans == ()
+    for batch in range(20):
+        assert add(batch).note == {"last": batch}
+        assert numbers_of(spark, parts) == list(range(batch + 1))
+        assert len([n for n in os.listdir(path) if n.startswith("span=")]) <= 2 * 3 + 3 + 3
+        assert len([n for n in os.listdir(f"{path}/_parts") if n.isdigit()]) <= 3
+    assert parts.latest().spans == ((0, 8), (9, 17), (18, 18), (19, 19))
+
+
+def test_a_break_before_the_marker_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    parts, add = table_of_numbers(spark, path, fan_in=2)
+    for batch in range(4):
+        # Each batch breaks off once with all its folders written, then runs again.
+        with monkeypatch.context() as broken:
+            broken.setattr(generations.Generations, "_mark", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                add(batch)
+        if batch:
+            assert numbers_of(spark, parts) == list(range(batch))
+        add(batch)
+        assert numbers_of(spark, parts) == list(range(batch + 1))
+    # A batch that is done is not written again.
+    parts.add(3, lambda folder: pytest.fail("written twice"), lambda *a: None)
+    with pytest.raises(ValueError, match="can't follow"):
+        add(7)
+
+
+def test_a_reader_keeps_its_parts_while_others_merge(spark, tmp_path):
+    parts, add = table_of_numbers(spark, str(tmp_path / "t"), fan_in=2, grace=3)
+    for batch in range(3):
+        add(batch)
+    held = spark.read.parquet(*parts.folders(parts.latest()))
+    for batch in range(3, 6):
+        add(batch)
+    assert sorted(r.n for r in held.collect()) == [0, 1, 2]
+
+
+def test_two_streams_cannot_share_a_path(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table_of_numbers(spark, path, owner="a")[1](0)
+    with pytest.raises(ValueError, match="another stream"):
+        table_of_numbers(spark, path, owner="b")[1](1)
+
+
+def test_many_batches_leave_few_files(spark, intake, monkeypatch):
+    monkeypatch.setattr(generations.Generations.__init__, "__defaults__", ("", 3, 2))
+    start = at("2025-07-01T00:00:00")
+    data = [(i, start + dt.timedelta(hours=(i * 7) % 48), 1, money("1.00")) for i in range(40)]
+    for part in range(10):
+        write_batch(spark, intake.source, data[part::10] + data[:2])
+    found = intake(maxFilesPerTrigger=1)
+    assert [r[0] for r in found] == list(range(6, 46))
+    spans = [name for name in os.listdir(f"{intake.out}/accepted") if name.startswith("span=")]
+    assert len(spans) <= 2 * 3 + 3 + 2 and sum(len(f) for _, _, f in os.walk(f"{intake.out}/accepted")) <= 150
+
+
+def test_reports_are_merged(spark, shop, tmp_path, monkeypatch):
+    monkeypatch.setattr(generations.Generations.__init__, "__defaults__", ("", 2, 0))
+    out, source = str(tmp_path / "out"), str(tmp_path / "in")
+    stream = order_stream(spark, shop, source)
+    live.start_report(stream, live.hour_partials, out, str(tmp_path / "check")).awaitTermination()
+    assert [name for name in os.listdir(out) if name.startswith("span=")] == ["span=0-3"]
+    want = sorted(rows(live.hour_partials(shop["ordertest"]).select("hourStart", "totalSales", "totalOrders")))
+    assert sorted(rows(live.hourly_sales(spark, out))) == want

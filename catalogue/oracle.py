@@ -444,6 +444,13 @@ QUERIES: dict[str, str] = {
     "s04_table_versions": """
         select menuID, menuName, category, cast(price as double) as price, menuImage, menuDescription, seasonalStart,
                seasonalEnd from pos_menu""",
+    "s05_create_and_drop": """
+        select 'menu' as table_name, count(*) as n_rows, false as is_left from pos_menu
+        union all select 'employee', count(*), false from pos_employee
+        union all select 'ordertest', count(*), false from pos_located
+        union all select 'inventory', count(*), false from pos_inventory
+        union all select 'locationTable', count(*), false from pos_location
+        union all select unnest(['orderItem', 'modification', 'menuInfo']), 0, false""",
     "s08_display": """
         select cast(orderID as varchar) as orderID, cast(employeeID as varchar) as employeeID,
                cast(orderTotal as varchar) as orderTotal from pos_ticks""",
@@ -555,6 +562,13 @@ QUERIES: dict[str, str] = {
 }
 _EMPTY_AVERAGE = _STATS + " where orderDate >= timestamp '2030-01-01' and orderDate < timestamp '2030-02-01'"
 QUERIES["a01_order_stats"] = _STATS
+# Other ways to the rows of a query above.
+QUERIES["r08_rollup_totals"] = QUERIES["r08_window_totals"]
+QUERIES["r08_rollup_top_items"] = QUERIES["r08_window_top_items"]
+QUERIES["r13_rollup_usage"] = QUERIES["r13_ingredient_usage"]
+QUERIES["j07_colocated"] = QUERIES["j07_orders_with_lines"]
+QUERIES["q18_colocated"] = QUERIES["q18_mod_revenue_by_item"]
+QUERIES["w05_restock_blocks"] = QUERIES["w05_restock"]
 QUERIES["a05_empty_order_stats"] = _EMPTY_AVERAGE
 
 

@@ -7,6 +7,7 @@ are exact inside the library; here they leave as doubles, so that two engines ca
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 
 from tillbook.functions import dates, labels, numbers, predicates
 from tillbook.operators import constraints, joins, mutations, ordering
-from tillbook.plans import audit, cart, load, reports, rules, sales
+from tillbook.plans import audit, cart, load, reports, rollups, rules, sales
 from tillbook.schemas import FEED_FILES, FEED_HEADERS, LOAD_ORDER, MONEY, SCHEMAS
-from tillbook.sources import display, feeds, star, tables
+from tillbook.sources import blocks, colocated, display, feeds, star, tables
 from tillbook.sources.workspace import scratch_path
 from tillbook.streaming import live
 
@@ -213,6 +214,47 @@ def f13_reversed_range(spark, d):
     return reports.window_totals(star.ticks(spark, d), start, end)
 
 
+def _rollups(spark: SparkSession, lines: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    folder = scratch_path(spark, "rollups")
+    rollups.save_rollups(lines, orders, folder)
+    return rollups.open_rollups(spark, folder)
+
+
+@query
+def r08_rollup_totals(spark, d):
+    """As r08_window_totals, whole days out of a roll-up."""
+    orders = star.ticks(spark, d)
+    found = rollups.open_rollups(spark, _saved_sales(spark, orders))[0]
+    return rollups.window_totals(found, orders, dt.datetime(2024, 1, 10, 9, 0), dt.datetime(2024, 1, 12, 17, 0))
+
+
+def _saved_sales(spark: SparkSession, orders: DataFrame) -> str:
+    """Roll-ups of orders that have no lines."""
+    folder = scratch_path(spark, "rollups")
+    none = spark.createDataFrame([], SCHEMAS["orderItem"])
+    rollups.save_rollups(none, orders, folder)
+    return folder
+
+
+@query
+def r08_rollup_top_items(spark, d):
+    """As r08_window_top_items, whole days out of a roll-up."""
+    start, end = dt.datetime(1997, 3, 1, 6, 30), dt.datetime(1997, 9, 1, 18, 0)
+    lines, orders = star.lines(spark, d), star.orders(spark, d)
+    _, items = _rollups(spark, lines, orders)
+    return rollups.window_top_items(items, lines, star.menu(spark, d), orders, start, end)
+
+
+@query
+def r13_rollup_usage(spark, d):
+    """As r13_ingredient_usage, whole days out of a roll-up."""
+    lines, orders = star.lines(spark, d), star.orders(spark, d)
+    _, items = _rollups(spark, lines, orders)
+    return rollups.ingredient_usage(
+        items, orders, lines, star.recipe(spark, d), star.inventory(spark, d), *MONTH
+    )
+
+
 @query
 def r09_x_report_hourly(spark, d):
     return reports.x_report_hourly(star.ticks(spark, d), DAY)
@@ -361,6 +403,27 @@ def j07_orders_with_lines(spark, d):
     return joined.select("orderID", "orderItemID", "orderDate", "priceAtPurchase")
 
 
+def _colocated(spark: SparkSession, shop: dict[str, DataFrame], layout: str) -> dict[str, DataFrame]:
+    root, name = scratch_path(spark, "colocated"), f"t{uuid.uuid4().hex}"
+    colocated.save_colocated(shop, root, name, buckets=8, layouts=[layout])
+    return colocated.open_colocated(spark, root, name)
+
+
+@query
+def j07_colocated(spark, d):
+    """As j07_orders_with_lines, from tables in buckets."""
+    shop = _colocated(spark, {"ordertest": star.orders(spark, d), "orderItem": star.lines(spark, d)}, "order")
+    joined = joins.orders_with_lines(shop["ordertest"], shop["orderItem"])
+    return joined.select("orderID", "orderItemID", "orderDate", "priceAtPurchase")
+
+
+@query
+def q18_colocated(spark, d):
+    """As q18_mod_revenue_by_item, from tables in buckets."""
+    shop = _colocated(spark, {"orderItem": star.lines(spark, d), "modification": star.modifications(spark, d)}, "line")
+    return sales.mod_revenue_by_item(shop["orderItem_by_line"], shop["modification"], star.menu(spark, d))
+
+
 @query
 def j08_orders_with_item_counts(spark, d):
     joined = joins.orders_with_item_counts(
@@ -659,15 +722,16 @@ def _older_shop(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {**shop, **older}
 
 
+FEEDS = ("menu", "employee", "inventory", "locationTable", "ordertest")
+
+
 def _loaded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The feeds of the shop's five filled tables, staged and loaded onto the older tables."""
     folder = scratch_path(spark, "feeds")
-    names = ("menu", "employee", "inventory", "locationTable", "ordertest")
     shop = _shop(spark, d)
-    for name in names:
+    for name in FEEDS:
         feeds.write_feed(shop[name], name, f"{folder}/{FEED_FILES[name]}")
-    staged = {name: load.stage_feed(spark, name, f"{folder}/{FEED_FILES[name]}") for name in names}
-    return load.load_tables(_older_shop(spark, d), staged)
+    return load.load_tables(_older_shop(spark, d), load.stage_feeds(spark, folder, FEEDS))
 
 
 @query
@@ -696,10 +760,32 @@ def s04_table_versions(spark, d):
     """The menu after a load, written as a version and opened as the latest one."""
     root = scratch_path(spark, "versions")
     tables.save_tables(_older_shop(spark, d), root, "before")
-    tables.save_tables(_loaded(spark, d), root, "after")
+    loaded = _loaded(spark, d)
+    tables.save_tables({name: loaded[name] for name in FEEDS}, root, "after", base="before")
     return tables.open_tables(spark, root)["menu"]
 
 
+@query
+def s05_create_and_drop(spark, d):
+    """Rows of each created table once it is filled, and whether it is left when all are dropped."""
+    shop, before = _shop(spark, d), spark.catalog.currentDatabase()
+    own = f"shop_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {own}")
+    spark.catalog.setCurrentDatabase(own)
+    try:
+        tables.create_tables(spark)
+        for name in FEEDS:
+            shop[name].write.insertInto(name)
+        counts = {name: spark.table(name).count() for name in LOAD_ORDER}
+        tables.drop_all(spark)
+        left = {table.name for table in spark.catalog.listTables()}
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {own} CASCADE")
+    found = [(name, n, name.lower() in {x.lower() for x in left}) for name, n in counts.items()]
+    return spark.createDataFrame(found, "table_name string, n_rows bigint, is_left boolean")
+
+
 @query
 def s08_display(spark, d):
     return display.as_display(star.ticks(spark, d).select("orderID", "employeeID", "orderTotal"))
@@ -766,13 +852,29 @@ def w04_update_menu(spark, d):
     return mutations.update_by_key(star.menu(spark, d), changes, "menuID", ["menuName", "category", "price"])
 
 
-@query
-def w05_restock(spark, d):
-    deltas = star.read(spark, d, "events").select(
+def _restock_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return star.read(spark, d, "events").select(
         F.format_string("Supplier#%09d", F.col("user_id")).alias("inventoryName"),
         (F.col("event_id") % 7 - 2).cast("int").alias("addAmount"),
     )
-    return mutations.apply_restock(star.inventory(spark, d), deltas)
+
+
+@query
+def w05_restock(spark, d):
+    return mutations.apply_restock(star.inventory(spark, d), _restock_deltas(spark, d))
+
+
+@query
+def w05_restock_blocks(spark, d):
+    """As w05_restock, on a table in blocks of which only those with a named item are written again."""
+    inventory, folder = star.inventory(spark, d), scratch_path(spark, "blocks")
+    blocks.save_blocks(inventory, folder, "inventoryID", size=100)
+    deltas = _restock_deltas(spark, d)
+    named = inventory.join(deltas, "inventoryName", "left_semi").select("inventoryID")
+    blocks.change_blocks(
+        spark, folder, named, "inventoryID", lambda rows: mutations.apply_restock(rows, deltas), size=100
+    )
+    return blocks.open_blocks(spark, folder).select(*inventory.columns)
 
 
 @query

@@ -1,0 +1,235 @@
+"""What keeps large tables cheap: selection by counting, roll-ups, buckets, blocks, one-job staging, run-time filters."""
+
+import datetime as dt
+import os
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import at, money, rows
+from tillbook.operators import constraints, joins, mutations, ordering
+from tillbook.plans import load, reports, rollups
+from tillbook.schemas import FEED_FILES, LOAD_ORDER, SCHEMAS
+from tillbook.sources import blocks, colocated, feeds, tables
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# --- O5: the n-th row -------------------------------------------------------------------------
+
+
+def test_nth_row_of_a_million(spark):
+    n = 1_000_000
+    numbers = spark.range(n).select(((F.col("id") * 7919) % n).alias("v"), F.lit("x").alias("other"))
+    for place in (0, 1, n // 2, n - 1):
+        assert rows(ordering.nth_row(numbers, "v", place, few=1000)) == [(place, "x")]
+    assert rows(ordering.nth_row(numbers, "v", n)) == []
+
+
+def test_nth_row_among_ties_and_nulls(spark):
+    values = [(None if i % 11 == 0 else i % 3, i) for i in range(3000)]
+    table = spark.createDataFrame(values, "v int, id long").repartition(5)
+    want = sorted(values, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for place in (0, 5, 900, 1500, 2500, 2727, 2728, 2999):
+        assert rows(ordering.nth_row(table, "v", place, ["id"], few=10)) == [want[place]]
+    assert rows(ordering.nth_row(table, "v", -1)) == rows(ordering.nth_row(table.limit(0), "v", 0)) == []
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp_ntz", "decimal(18,2)", "double", "string"])
+def test_nth_row_of_each_kind(spark, kind):
+    day = F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int"))
+    made = {"date": day, "timestamp_ntz": day.cast("timestamp_ntz"), "string": F.format_string("%05d", "id")}
+    table = spark.range(500).select(made.get(kind, (F.col("id") / 4).cast(kind)).alias("v"), F.col("id").alias("place"))
+    for place in (0, 250, 499):
+        assert [r.place for r in ordering.nth_row(table, "v", place, few=7).collect()] == [place]
+
+
+# --- Roll-ups ---------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def sold(spark, shop):
+    rng = random.Random(4)
+    start = at("2025-06-20T00:00:00")
+    times = [start + dt.timedelta(minutes=rng.choice([0, rng.randint(0, 1440)]), days=rng.randint(0, 9)) for _ in range(300)]
+    orders = [(i, 2, "Main St", t, money(f"{rng.randint(-5, 20)}.25")) for i, t in enumerate(times)]
+    lines = [(i, rng.randint(0, 2), money(f"{rng.randint(1, 9)}.10"), money(str(rng.randint(1, 3))), rng.choice([7, i % 300]), 0) for i in range(900)]
+    return {
+        **shop,
+        "ordertest": spark.createDataFrame(orders, SCHEMAS["ordertest"]),
+        "orderItem": spark.createDataFrame(lines, SCHEMAS["orderItem"]),
+    }
+
+
+@pytest.fixture(scope="module")
+def saved_rollups(spark, sold, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("rollups"))
+    rollups.save_rollups(sold["orderItem"], sold["ordertest"], f"{folder}/r")
+    return rollups.open_rollups(spark, f"{folder}/r")
+
+
+def test_windows_are_split_at_midnight():
+    day = dt.date
+    assert rollups.split_window(at("2025-06-20T00:00:00"), at("2025-06-22T00:00:00")) == ((day(2025, 6, 20), day(2025, 6, 21)), [])
+    assert rollups.split_window(at("2025-06-20T09:00:00"), at("2025-06-20T10:00:00"))[0] is None
+    assert rollups.split_window(at("2025-06-20T09:00:00"), at("2025-06-20T09:00:00")) == (None, [])
+    for a, b in (("2025-06-20T09:00:00", "2025-06-21T00:00:00"), ("2025-06-20T09:00:00", "2025-06-21T08:00:00")):
+        days, edges = rollups.split_window(at(a), at(b))
+        assert days is None and edges == [(at(a), at(b))]
+    days, edges = rollups.split_window(at("2025-06-20T09:00:00"), at("2025-06-23T08:00:00"))
+    assert days == (day(2025, 6, 21), day(2025, 6, 22)) and len(edges) == 2
+
+
+def test_reports_from_rollups_equal_the_direct_ones(sold, saved_rollups):
+    sales, items = saved_rollups
+    rng = random.Random(5)
+    for _ in range(4):
+        start = at("2025-06-20T00:00:00") + dt.timedelta(minutes=rng.choice([0, rng.randint(0, 5000)]))
+        end = start + dt.timedelta(minutes=rng.randint(0, 9000))
+        direct = rows(reports.window_totals(sold["ordertest"], start, end))
+        assert rows(rollups.window_totals(sales, sold["ordertest"], start, end)) == direct
+        for qty in (True, False):
+            args = (sold["orderItem"], sold["menu"], sold["ordertest"], start, end)
+            direct = rows(reports.window_top_items(*args, line_price_includes_qty=qty))
+            assert rows(rollups.window_top_items(items, *args, line_price_includes_qty=qty)) == direct
+        first, last = start.date(), end.date()
+        args = (sold["ordertest"], sold["orderItem"], sold["menuInfo"], sold["inventory"], first, last)
+        assert rows(rollups.ingredient_usage(items, *args)) == rows(reports.ingredient_usage(*args))
+
+
+def test_whole_days_read_no_orders(spark, sold, saved_rollups, tmp_path):
+    sold["ordertest"].write.parquet(f"{tmp_path}/orders")
+    orders = spark.read.parquet(f"{tmp_path}/orders")
+    start, end = at("2025-06-21T00:00:00"), at("2025-06-25T00:00:00")
+    assert plan_of(rollups.window_totals(saved_rollups[0], orders, start, end)).count("FileScan") == 1
+    with_edge = plan_of(rollups.window_totals(saved_rollups[0], orders, start, at("2025-06-25T07:00:00")))
+    assert with_edge.count("FileScan") == 2 and "GreaterThanOrEqual(orderDate,2025-06-25T00:00" in with_edge
+
+
+# --- Tables in buckets ------------------------------------------------------------------------
+
+
+def test_colocated_joins_shuffle_nothing(spark, sold, tmp_path, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    orders = spark.range(5000).select(F.col("id").alias("orderID"), F.lit(money("1.00")).alias("orderTotal"))
+    lines = spark.range(20_000).select(F.col("id").alias("orderItemID"), (F.col("id") % 5000).alias("orderID"), F.lit(1).alias("quantityPurchased"))
+    mods = spark.range(9000).select(F.col("id").alias("modificationID"), (F.col("id") * 2).alias("orderItemID"))
+    colocated.save_colocated({"ordertest": orders, "orderItem": lines, "modification": mods}, str(tmp_path), "even", buckets=4)
+    # A later session only has the files.
+    colocated.drop_colocated(spark, "even")
+    shop = colocated.open_colocated(spark, str(tmp_path), "even")
+    by_order = joins.orders_with_lines(shop["ordertest"], shop["orderItem"])
+    by_line = shop["modification"].join(shop["orderItem_by_line"], "orderItemID")
+    counts = shop["orderItem"].groupBy("orderID").agg(F.sum("quantityPurchased").alias("n"))
+    for joined in (by_order, by_line, counts, shop["ordertest"].join(counts, "orderID")):
+        assert "Exchange" not in plan_of(joined)
+    assert by_order.count() == 20_000 and by_line.count() == 9000 and counts.count() == 5000
+    assert sorted(rows(by_order)) == sorted(rows(joins.orders_with_lines(orders, lines)))
+    colocated.drop_colocated(spark, "even")
+
+
+def test_a_hot_order_is_opened_without_buckets(spark, tmp_path, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    orders = spark.range(3000).select(F.col("id").alias("orderID"))
+    lines = spark.range(9000).select(F.col("id").alias("orderItemID"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 3000).alias("orderID"))
+    mods = spark.range(10).select(F.col("id").alias("modificationID"), F.col("id").alias("orderItemID"))
+    colocated.save_colocated({"ordertest": orders, "orderItem": lines, "modification": mods}, str(tmp_path), "hot", buckets=4)
+    colocated.drop_colocated(spark, "hot")
+    shop = colocated.open_colocated(spark, str(tmp_path), "hot")
+    joined = joins.orders_with_lines(shop["ordertest"], shop["orderItem"])
+    assert "Exchange" in plan_of(joined) and joined.count() == 9000
+    assert "Exchange" not in plan_of(shop["modification"].join(shop["orderItem_by_line"], "orderItemID"))
+    colocated.drop_colocated(spark, "hot")
+
+
+# --- Tables in blocks -------------------------------------------------------------------------
+
+
+def times_of(folder):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_a_change_writes_touched_blocks_only(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    table = spark.range(1000).select("id", F.lit(1).alias("n"))
+    blocks.save_blocks(table, folder, "id", 100)
+    before = times_of(folder)
+    time.sleep(0.02)
+    changes = spark.createDataFrame([(5, 50), (730, 70)], "id long, n int")
+    touched = blocks.change_blocks(spark, folder, changes, "id", lambda old: mutations.update_by_key(old, changes, "id", ["n"]), 100)
+    kept = {f: t for f, t in times_of(folder).items() if f in before}
+    assert touched == 2 and len(kept) == 8 and all(before[f] == t for f, t in kept.items())
+    found = dict(rows(blocks.open_blocks(spark, folder)))
+    assert len(found) == 1000 and found[5] == 50 and found[730] == 70 and found[6] == 1
+    # New keys make a block of their own; key checks see the rows of their block.
+    new = spark.createDataFrame([(1000 + i, 9) for i in range(10)], "id long, n int")
+    assert blocks.change_blocks(spark, folder, new, "id", lambda old: mutations.insert_rows(old, new, "id"), 100) == 1
+    assert blocks.open_blocks(spark, folder).count() == 1010
+    with pytest.raises(constraints.ConstraintError):
+        blocks.change_blocks(spark, folder, new, "id", lambda old: mutations.insert_rows(old, new, "id"), 100)
+    with pytest.raises(ValueError, match="without rows"):
+        blocks.change_blocks(spark, folder, new, "id", lambda old: old.where("id < 1000"), 100)
+    assert blocks.change_blocks(spark, folder, new.limit(0), "id", lambda old: old, 100) == 0
+
+
+# --- Versions and staging ---------------------------------------------------------------------
+
+
+def test_a_version_on_a_base_writes_what_changed(spark, shop, tmp_path):
+    root = str(tmp_path)
+    tables.save_tables(shop, root, "one")
+    tables.save_tables({"menu": shop["menu"].where("menuID > 0")}, root, "two", base="one")
+    tables.save_tables({"employee": shop["employee"].limit(1)}, root, "three", base="two")
+    assert os.listdir(f"{root}/two") == ["menu"]
+    opened = tables.open_tables(spark, root)
+    assert opened["menu"].count() == 2 and opened["employee"].count() == 1 and opened["ordertest"].count() == 5
+    assert tables.open_tables(spark, root, "one")["menu"].count() == 3
+    for wrong in (None, "nowhere"):
+        with pytest.raises(ValueError):
+            tables.save_tables({"menu": shop["menu"]}, root, "four", base=wrong)
+
+
+def test_one_job_stages_a_feed(spark, shop, tmp_path):
+    path = f"{tmp_path}/{FEED_FILES['ordertest']}"
+    feeds.write_feed(shop["ordertest"], "ordertest", path)
+    spark.sparkContext.setJobGroup("staging", "staging")
+    try:
+        staged, facts = load.stage_with_facts(spark, "ordertest", path)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("staging")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert facts == (5, 0, 1, 5) and sorted(rows(staged)) == sorted(rows(shop["ordertest"]))
+
+
+def test_all_rules_are_checked_at_once(spark, shop):
+    bad = {
+        "menu": shop["menu"].unionByName(shop["menu"].limit(1)),
+        "ordertest": shop["ordertest"].withColumn("employeeID", F.col("employeeID") + 100),
+    }
+    with pytest.raises(constraints.ConstraintError) as found:
+        load.load_tables(shop, bad)
+    assert "menu has a missing or repeated menuID" in str(found.value) and "ordertest.employeeID has no employee" in str(found.value)
+    assert set(load.load_tables(shop, {})) == set(LOAD_ORDER)
+
+
+# --- Run-time filters -------------------------------------------------------------------------
+
+
+def test_key_checks_of_two_large_sides_filter_at_run_time(spark, tmp_path, conf):
+    """Both sides too large to broadcast: Spark builds a Bloom filter of the filtered side and cuts the other down before its shuffle."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__optimizer__runtime__bloomFilter__enabled="true",
+        spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="1b",
+    )
+    spark.range(20_000).select("id", (F.col("id") % 500).alias("parent")).write.parquet(f"{tmp_path}/child")
+    spark.range(500).select("id", (F.col("id") % 50).alias("kind")).write.parquet(f"{tmp_path}/parent")
+    child, parent = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("child", "parent"))
+    chosen = parent.where("kind = 3").select("id")
+    found = constraints.used_keys(child, chosen, "id", "parent")
+    assert "might_contain" in plan_of(found)
+    assert sorted(rows(found)) == [(i,) for i in range(3, 500, 50)]

@@ -19,12 +19,13 @@ from tillbook.operators.constraints import require_none, require_unique, used_ke
 from tillbook.operators.joins import spread_join
 
 
-def upsert(target: DataFrame, staging: DataFrame, key: str) -> DataFrame:
+def upsert(target: DataFrame, staging: DataFrame, key: str, checked: bool = False) -> DataFrame:
     """Replace the rows whose key is staged, keep the others, add the new ones.
 
-    A missing or repeated staged key is an error.
+    A missing or repeated staged key is an error; ``checked`` says that there is none.
     """
-    require_unique(staging, key, "staging")
+    if not checked:
+        require_unique(staging, key, "staging")
     kept = target.join(staging.select(key), key, "left_anti")
     return kept.select(*target.columns).unionByName(staging.select(*target.columns))
 

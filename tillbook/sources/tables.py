@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillbook.schemas import LOAD_ORDER, SCHEMAS
+from tillbook.sources import files
 
 
 def create_tables(spark: SparkSession) -> None:
@@ -33,21 +34,27 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 CLUSTERING: dict[str, tuple[str, ...]] = {"ordertest": ("orderDate", "orderID")}
 
 
-_VERSIONS = "version string, written timestamp"
+_VERSIONS = "version string, base string, written timestamp"
 
 
-def save_tables(tables: Mapping[str, DataFrame], root: str, version: str) -> str:
+def save_tables(tables: Mapping[str, DataFrame], root: str, version: str, base: str | None = None) -> str:
     """Write one Parquet version of the tables; an existing version is an error.
 
-    The version is listed in ``root/versions`` when all its tables are there, so none is opened half-written.
+    With a complete version as ``base``, ``tables`` needs to hold only what changed: the others are those of the base, and
+    nothing of them is written again. The version is listed in ``root/versions`` when all its tables are there, so none is
+    opened half-written.
     """
+    spark = next(iter(tables.values())).sparkSession
+    if base is not None:
+        _lineage(spark, root, base)
+    elif set(tables) != set(LOAD_ORDER):
+        raise ValueError("a version without a base needs all tables")
     for name, table in tables.items():
         keys = CLUSTERING.get(name)
         if keys:
             table = table.repartitionByRange(*keys).sortWithinPartitions(*keys)
         table.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    listed = spark.createDataFrame([(version,)], "version string").withColumn("written", F.current_timestamp())
+    listed = spark.createDataFrame([(version, base)], "version string, base string").withColumn("written", F.current_timestamp())
     listed.write.mode("append").parquet(f"{root}/versions")
     return f"{root}/{version}"
 
@@ -57,15 +64,23 @@ def latest_version(spark: SparkSession, root: str) -> str:
     return spark.read.schema(_VERSIONS).parquet(f"{root}/versions").agg(F.max_by("version", "written")).first()[0]
 
 
+def _lineage(spark: SparkSession, root: str, version: str) -> list[str]:
+    """The version, its base, the base's base, .. up to one that holds all tables."""
+    bases = {row.version: row.base for row in spark.read.schema(_VERSIONS).parquet(f"{root}/versions").collect()}
+    line = [version]
+    while line[-1] is not None:
+        if line[-1] not in bases:
+            raise ValueError(f"version {line[-1]} under {root} is not complete")
+        line.append(bases[line[-1]])
+    return line[:-1]
+
+
 def open_tables(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
     """The tables of a version, the latest if none is named. A version that is not complete is an error."""
-    version = version or latest_version(spark, root)
-    complete = spark.read.schema(_VERSIONS).parquet(f"{root}/versions").where(F.col("version") == version)
-    if complete.isEmpty():
-        raise ValueError(f"version {version} under {root} is not complete")
-    return {
-        name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{version}/{name}") for name in LOAD_ORDER
-    }
+    line = _lineage(spark, root, version or latest_version(spark, root))
+    held = {v: set(files.names(spark, f"{root}/{v}")) for v in line}
+    where = {name: next(v for v in line if name in held[v]) for name in LOAD_ORDER}
+    return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{where[name]}/{name}") for name in LOAD_ORDER}
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:

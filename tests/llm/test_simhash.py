@@ -122,6 +122,15 @@ def test_components_of_long_paths_and_stars(spark):
     assert found == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}}
 
 
+def test_marks_of_very_many_edges_do_not_overflow(spark):
+    from tillbook.llm.components import _mark
+
+    edges = spark.range(20_000_000).selectExpr("id + 1 as u", "id as v")
+    mark = _mark(edges)
+    assert mark[0] == 20_000_000 and mark == _mark(edges.repartition(7)) != _mark(edges.where("u <> 5"))
+    assert _mark(edges.where("u = 1").selectExpr("v as u", "u as v"))[1:] != _mark(edges.where("u = 1"))[1:]
+
+
 def test_one_of_each_group_stays(docs):
     words = [f"word{i}" for i in range(300)]
     base, other = " ".join(words), " ".join(words[::-1])

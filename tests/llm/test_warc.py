@@ -63,3 +63,52 @@ def test_empty_table(pages):
 def test_a_wrong_length_is_an_error():
     with pytest.raises(ValueError):
         list(warc.split_records(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nab\r\n\r\n"))
+
+
+def record(n, size=20):
+    block = bytes([65 + n % 26]) * size
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r{n:03}>\r\nContent-Type: text/plain\r\nContent-Length: {size}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def ids_in(spark, folder):
+    found = warc.read_records(spark, str(folder)).select("record_id", "payload_bytes").collect()
+    return sorted((r.record_id, r.payload_bytes) for r in found)
+
+
+@pytest.mark.parametrize("how", ["plain", "whole", "members", "mixed", "padded"])
+def test_foreign_archives(spark, tmp_path, how):
+    records = [record(n, 20 + n) for n in range(60)]
+    packed = {
+        "plain": b"".join(records),
+        "whole": gzip.compress(b"".join(records)),
+        "members": b"".join(map(gzip.compress, records)),
+        "mixed": gzip.compress(b"".join(records[:31])) + b"".join(gzip.compress(b"".join(records[a : a + 7])) for a in range(31, 60, 7)),
+        "padded": b"".join(map(gzip.compress, records)) + b"\0" * 500,
+    }[how]
+    (tmp_path / "a.warc.gz").write_bytes(packed)
+    assert ids_in(spark, tmp_path) == [(f"<r{n:03}>", 20 + n) for n in range(60)]
+
+
+def test_cut_archives_are_errors():
+    whole = b"".join(gzip.compress(record(n)) for n in range(5))
+    for cut in (1, 4, 30):
+        with pytest.raises(ValueError):
+            list(warc.split_records(warc.inflate(whole[:-cut])))
+    for cut in (1, 25, len(record(0)) - 8):
+        with pytest.raises(ValueError):
+            list(warc.split_records(warc.inflate(b"".join(map(record, range(2)))[:-cut])))
+    assert list(warc.split_records(warc.inflate(b""))) == []
+
+
+def test_a_very_long_record_is_streamed(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(n, size), 1) for n, size in enumerate((5, 64_000_000, 7))))
+    assert ids_in(spark, tmp_path) == [("<r000>", 5), ("<r001>", 64_000_000), ("<r002>", 7)]
+
+
+def test_a_long_page_makes_the_round(spark):
+    text = "é very long page " * 400_000
+    pages = spark.createDataFrame([(1, "u", text), (2, "v", text), (3, "w", "short")], "page_id long, url string, html string")
+    found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    size = len(text.encode())
+    assert found == {1: (size, "revisit", 2), 2: (size, "response", None), 3: (5, "response", None)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,37 +130,79 @@ _RECORD = (
 )
 
 
-def split_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers (names in lower case) and the block of every record, by its Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
+_CHUNK = 1 << 20
+
+
+def inflate(content: bytes) -> Iterator[bytes]:
+    """The text of a file in parts of a bounded size: of all its gzip (or zlib) members one after another, or as it is."""
+    if content[:2] != b"\x1f\x8b" and content[:1] != b"\x78":
+        yield from (content[at : at + _CHUNK] for at in range(0, len(content), _CHUNK))
+        return
+    rest = content
+    while rest:
+        member = zlib.decompressobj(47)  # 47: gzip or zlib, by the header
+        data = rest
+        while not member.eof:
+            part = member.decompress(data, _CHUNK)
+            data = member.unconsumed_tail
+            if part:
+                yield part
+            elif not member.eof:
+                raise ValueError("the archive's last member is cut off")
+        rest = member.unused_data.lstrip(b"\0")
+
+
+def split_records(parts: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers (names in lower case) and the block of every record, by its Content-Length. One record is held at a time."""
+    parts, data, at = iter([parts] if isinstance(parts, bytes) else parts), bytearray(), 0
+
+    def have(size: int) -> bool:
+        while len(data) < size:
+            part = next(parts, None)
+            if part is None:
+                return False
+            data.extend(part)
+        return True
+
+    while have(1):
+        seen = 0
+        while (end := data.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(data) - 3)
+            if not have(len(data) + 1):
+                raise ValueError(f"the record at byte {at} has no end of its headers")
+        version, *lines = data[:end].decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
         start, size = end + 4, int(headers["content-length"])
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
+        if not have(start + size + 4) or data[start + size : start + size + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield headers, data[start : start + size]
-        at = start + size + 4
+        yield headers, bytes(data[start : start + size])
+        at += start + size + 4
+        del data[: start + size + 4]
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the archives at ``path``; ``payload`` is null if ``payloads`` is false, its size and digest are there still.
 
-    A file is one row of Spark's binary reader: it reads any store, and file sizes are bounded by the writer. For HTTP
-    blocks the payload is what follows the header, for others the block.
+    Archives may be plain or compressed, as a whole or with a gzip member for each record or for some; one that is cut off is
+    an error. A file is one row of Spark's binary reader, which reads any store: compressed it must stay under 2 GB. It is unpacked
+    as a stream, of which one record is held at a time. For HTTP blocks the payload is what follows the header, for others the
+    block.
     """
     schema = spark.createDataFrame([], _RECORD).schema
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                data = zlib.decompress(content.as_py(), 47)  # 47: gzip or zlib, by the header
-                rows = [_row(headers, block, payloads) for headers, block in split_records(data)]
-                for at in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 1000], arrow)
+                rows, size = [], 0
+                for headers, block in split_records(inflate(content.as_py())):
+                    rows.append(_row(headers, block, payloads))
+                    size += len(rows[-1]["payload"] or b"")
+                    if len(rows) == 1000 or size > 16 * _CHUNK:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
     arrow = pa.schema(
         [(f.name, {"binary": pa.binary(), "bigint": pa.int64()}.get(f.dataType.simpleString(), pa.string())) for f in schema]
@@ -173,7 +215,7 @@ def _row(headers: dict[str, str], block: bytes, payloads: bool) -> dict:
     header, payload = "", block
     if headers.get("content-type", "").startswith("application/http"):
         header, _, payload = block.partition(b"\r\n\r\n")
-        header = header.decode()
+        header = header.decode("utf-8", "replace")
     kept = payloads or headers["warc-type"] == "metadata"
     return {
         "record_id": headers["warc-record-id"],

@@ -33,31 +33,30 @@ def top_k(df: DataFrame, measure: str, k: int, ties: Sequence[str] = (), descend
     return df.orderBy(*_keys(measure, ties, descending)).limit(k)
 
 
-#: Rows that are sorted at last; the row is sought among more by counting.
-FEW_ROWS = 50_000
-_ACCURACY = 1_000
+_ACCURACY = 10_000
 
 
-def nth_row(df: DataFrame, measure: str, n: int | Column, ties: Sequence[str] = (), few: int = FEW_ROWS) -> DataFrame:
+def nth_row(df: DataFrame, measure: str, n: int | Column, ties: Sequence[str] = (), few: int = 1) -> DataFrame:
     """The row at position ``n`` (from 0, a number or a one-row subquery) in ascending order; no row when ``n`` is too large.
 
     Found by selection: approximate quantiles around the place cut the measure into intervals, whose rows are counted exactly, and the
-    search goes on in the one that holds the place, by the tie keys where all measures are equal. Only the last ``few`` rows
-    are sorted; nothing is written, and no task gathers the rows before the n-th. Keys other than numbers, dates and times are numbered by
-    a range sort over all tasks instead.
+    search goes on in the one that holds the place, by the tie keys where all measures are equal, until ``few`` rows are left.
+    Nothing is sorted or written in full, and no task gathers the rows before the n-th. Several rows that are left (equal in all keys), and
+    keys other than numbers, dates and times, are numbered by a range sort over all tasks.
     """
     keys = [measure, *ties]
     place = n if isinstance(n, int) else df.sparkSession.range(1).select(n).first()[0]
     if place is None or place < 0:
         return df.limit(0)
-    if not all(_has_quantiles(df.schema[key].dataType) for key in keys):
-        return number_rows(df, keys, "_nth").where(F.col("_nth") == place).drop("_nth")
     rows, size = df, None
-    for key in keys:
+    keyed = all(_has_quantiles(df.schema[key].dataType) for key in keys)
+    for key in keys if keyed else ():
         rows, place, size = _narrowed(rows, key, place, few, size)
         if size <= few:
             break
-    return rows.orderBy(*[F.col(key).asc_nulls_last() for key in keys]).offset(place).limit(1)
+    if size == 1 and place == 0:
+        return rows
+    return number_rows(rows, keys, "_nth").where(F.col("_nth") == place).drop("_nth")
 
 
 def _has_quantiles(kind: T.DataType) -> bool:

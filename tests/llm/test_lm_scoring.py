@@ -10,61 +10,72 @@ QUALITY = [(1, 1), (1, 1), (2, 0), (None, 1), (4, None)]
 
 
 def brute_force(rows, good):
-    texts = [(i, (t or "").lower().split()) for i, t in rows]
-
-    def counts(chosen):
-        one, two = Counter(), Counter()
-        for words in chosen:
-            one.update(words)
-            two.update(zip(["<"] + words, words))
-        return one, two
-
-    corpus = {"background": counts([w for _, w in texts]), "target": counts([w for i, w in texts if i in good])}
-    kept = {w for w, n in corpus["background"][0].items() if n >= 2}
-    fold = lambda w: w if w in kept or w == "<" else "?"
-    for one, two in corpus.values():
-        for table in (one, two):
-            for key, n in list(table.items()):
-                del table[key]
-                new = fold(key) if isinstance(key, str) else (fold(key[0]), fold(key[1]))
-                table[new] += n
-    pairs = {p for p, n in corpus["background"][1].items() if n >= 2}
-
-    def loss(words, one, two):
-        total, after = sum(one.values()), Counter()
-        for (v, _), n in two.items():
-            after[v] += n
-        out = 0.0
+    """Probabilities from counts over all other rows, taken anew for each row."""
+    texts = [(i, [w.decode() for w in (t or "").encode().lower().split()]) for i, t in rows]
+    everything = sum(len(w) for _, w in texts)
+
+    def loss(words, others):
+        one = Counter(w for text in others for w in text)
+        first = one + Counter("<" for text in others if text)
+        two = Counter(p for text in others for p in zip(["<"] + text, text))
+        total, out = sum(one.values()), 0.0
         for v, w in zip(["<"] + words, words):
-            single = 0.99 * (one[w] / total if total else 0) + 0.01 / (len(kept) + 1)
-            own = sum(0.7 * two[p] / after[v] for p in pairs if p[0] == v) if after[v] else 0
-            out -= math.log((1 - own) * single + (0.7 * two[v, w] / after[v] if after[v] and (v, w) in pairs else 0))
+            single = 0.99 * (one[w] / total if total else 0) + 0.01 / everything
+            out -= math.log(0.7 * two[v, w] / first[v] + 0.3 * single if first[v] else single)
         return out / len(words) if words else 0.0
 
-    for i, words in texts:
-        words = [fold(w) for w in words]
-        yield i, len(words), *(loss(words, *corpus[side]) for side in ("target", "background"))
+    for at, (i, words) in enumerate(texts):
+        rest = [text for n, text in enumerate(texts) if n != at]
+        yield i, len(words), loss(words, [w for j, w in rest if j in good]), loss(words, [w for _, w in rest])
 
 
-def test_equals_brute_force(spark, docs):
-    labels = spark.createDataFrame(QUALITY, "doc_id long, quality int")
-    found = lm.cross_entropy_difference(docs(TEXTS), labels).collect()
-    want = list(brute_force(TEXTS, {1}))
-    assert len(found) == len(TEXTS)
-    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+def check(found, rows, good):
+    want = list(brute_force(rows, good))
+    assert len(found) == len(rows)
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
     for row, (i, n, target, background) in zip(sorted(map(tuple, found), key=key), sorted(want, key=key)):
         assert row[:2] == (i, n)
         assert row[2:] == pytest.approx((target, background, target - background), abs=2e-6)
 
 
-def test_probabilities_sum_to_one(corpus, labels):
-    target = corpus.join(labels.where("quality = 1"), "doc_id", "left_semi")
-    m = lm.fit(corpus, target)
-    size = len(m.single)
-    assert abs(m.single[1:].sum(axis=0) - 1).max() < 1e-9
-    for first in {0, 1, int(m.pairs[0] // size), int(m.pairs[-1] // size)}:
-        own = m.pair[m.pairs // size == first].sum(axis=0)
-        assert abs(own + m.back_off[first] - 1).max() < 1e-9
+@pytest.mark.parametrize("size", [1, 12, lm.BLOCK_BYTES])
+def test_equals_brute_force(spark, docs, size):
+    labels = spark.createDataFrame(QUALITY, "doc_id long, quality int")
+    check(lm.cross_entropy_difference(docs(TEXTS), labels, size).collect(), TEXTS, {1})
+
+
+def test_real_texts_in_small_blocks(spark, docs, corpus):
+    rows = [(r.doc_id, r.text) for r in corpus.orderBy("doc_id").limit(40).collect()]
+    good = {i for i, _ in rows[::3]}
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    check(lm.cross_entropy_difference(docs(rows), labels, 20_000).collect(), rows, good)
+
+
+def test_a_very_rare_word_has_a_probability_of_its_own(spark, docs):
+    common = " ".join(f"w{i % 50}" for i in range(500_000))
+    rows = [(n, common) for n in range(20)] + [(90, "w1 zebra"), (91, "w1 zebra"), (92, "w1 quagga"), (93, "")]
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    found = {r.doc_id: r.background_loss for r in lm.cross_entropy_difference(docs(rows), none).collect()}
+    assert found[90] == found[91] < found[92] - 0.5 and len(found) == 24
+
+
+def test_probabilities_sum_to_one():
+    """After any word, the words of the corpus, its ends, and what is left for words that it lacks are one."""
+    import numpy as np
+
+    texts = ["a b a c", "b a", "c c b a"]
+    words = sorted({w for text in texts for w in text.split()})
+    for first in ["", *words]:
+        chance = 0.0
+        for word in words:
+            t = lm.tokens([*texts, f"{first} {word}"])
+            target = np.array([True, True, False, True])
+            chance += np.exp(-lm.losses(t, target, *lm.corpus_counts(t, target, (t.word[:0], [], [])))[-1])
+        ends = np.array([sum(x.split()[-1] == first for x in part) / max(1, sum(x.split().count(first) for x in part))
+                         for part in (texts[:2], texts)])
+        seen = np.array([not first or any(first in x.split() for x in part) for part in (texts[:2], texts)])
+        uniform = 0.01 * len(words) / (10 + 1 + bool(first))
+        assert chance == pytest.approx(np.where(seen, 0.7 * (1 - ends) + 0.3 * (0.99 + uniform), 0.99 + uniform))
 
 
 def test_no_target_and_empty_table(spark, docs):

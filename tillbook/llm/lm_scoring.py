@@ -2,181 +2,201 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tillbook.llm.common import likely_members, row_function, stored, words_of
+from tillbook.llm.common import stored, words_of
 
-#: A word of the vocabulary makes up this share of all words at least, so there are 100,000 at most in any corpus.
-WORD_SHARE = 1e-5
-#: A bigram with a probability of its own makes up this share of all bigrams at least, so there are 500,000 at most.
-BIGRAM_SHARE = 2e-6
-#: And each occurs so often at least.
-LEAST_COUNT = 2
 #: Weight of the bigram's share among those of its first word, and of the uniform part of a single word's probability.
 BIGRAM_WEIGHT, UNIFORM_WEIGHT = 0.7, 0.01
-#: Ids of what begins a document and of words outside the vocabulary.
-BEGIN, UNKNOWN = 0, 1
+#: Text of a block, in bytes. A longer text is a block of its own.
+BLOCK_BYTES = 12_000_000
+#: Keys of what begins a document and of all words together; those of words are other even numbers, of bigrams odd ones.
+BEGIN, ALL = np.uint64(0), np.uint64(2)
 
-_LOSSES = T.StructType(
-    [T.StructField("n_words", T.LongType())]
-    + [T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss")]
-)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_SCORES = "doc_id {}, n_words long, target_loss double, background_loss double, score double"
 
 
-@dataclass(frozen=True)
-class Models:
-    """Two bigram models over one vocabulary and one set of bigrams.
+def word_keys(text: str | None) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) << np.uint64(1)
 
-    ``single`` holds each id's probability and ``back_off`` what a first word leaves to single words, in columns for target and
-    background; ``pairs`` are the bigrams' keys, ascending, and ``pair`` their own part of the probability.
-    """
 
-    words: list[bytes]
-    single: np.ndarray
-    back_off: np.ndarray
-    pairs: np.ndarray
+@dataclass(frozen=True)
+class Tokens:
+    """The words of some texts one after another: the text each is in, its key, that of the word before, and of both."""
+
+    doc: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
     pair: np.ndarray
+    lengths: np.ndarray
 
 
-def word_counts(docs: DataFrame, name: str) -> DataFrame:
-    """(word, n) over the whole texts; each task counts its own batches first."""
+def tokens(texts: list[str | None]) -> Tokens:
+    keys = [word_keys(text) for text in texts]
+    lengths = np.array([len(k) for k in keys], np.int64)
+    word = np.concatenate([*keys, np.zeros(0, np.uint64)])
+    before = np.concatenate((np.zeros(1, np.uint64), word))[: len(word)]
+    starts = np.cumsum(lengths) - lengths
+    before[starts[lengths > 0]] = BEGIN
+    pair = (before * _MIX[0] + word) * _MIX[1]
+    pair = (pair ^ pair >> np.uint64(31)) | np.uint64(1)
+    return Tokens(np.repeat(np.arange(len(texts)), lengths), word, before, pair, lengths)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-            )
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").withColumnRenamed("n", name)
+def own_counts(t: Tokens, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, background, target) of the texts, keys ascending. What begins a document counts once for each text with a word."""
+    begin = np.flatnonzero(t.lengths)
+    keys = np.concatenate((t.word, t.pair, np.full(len(begin), BEGIN), np.full(len(t.word), ALL)))
+    doc = np.concatenate((t.doc, t.doc, begin, t.doc))
+    found, place = np.unique(keys, return_inverse=True)
+    size = len(found)
+    return found, np.bincount(place, minlength=size), np.bincount(place[target[doc]], minlength=size)
 
 
-def _ids(text: str | None, number: dict[bytes, int]) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter((number.get(word, UNKNOWN) for word in words), np.int64, len(words))
+def in_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with their ``block``, written: what belongs to a block is then the same however often it is read."""
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            blocks = np.zeros(batch.num_rows, np.int64)
+            for row, length in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                filled += length or 0
+                if filled > size:
+                    block, filled = block + 1, length or 0
+                blocks[row] = block
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks)], names=["doc_id", "target", "text", "block"])
 
-def _keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """One number for each bigram, the first of which starts at the document's beginning."""
-    return np.concatenate(([BEGIN], ids[:-1])) * size + ids if len(ids) else ids
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbered = docs.mapInArrow(number, f"doc_id {kind}, target boolean, text string, block long")
+    return stored(numbered, "lm-blocks")
 
 
-def bigram_counts(docs: DataFrame, words: list[bytes], name: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    size = len(words) + 2
+def block_counts(blocks: DataFrame) -> DataFrame:
+    """(block, key, background, target) of every word and bigram of each block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {word: place + 2 for place, word in enumerate(sent.value)}
+        block, texts, target = None, [], []
         for batch in batches:
-            found = [_keys(_ids(text, number), size) for text in batch.column("text").to_pylist()]
-            keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-            for at in range(0, len(keys), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(n[part].astype(np.int64))], names=["key", "n"])
-
-    return docs.select("text").mapInArrow(count, "key long, n long").withColumnRenamed("n", name)
-
-
-def _matched(background: DataFrame, target: DataFrame, key: str, name: str) -> DataFrame:
-    """Counts of both corpora by key, in one shuffle."""
-    both = background.unionByName(target, allowMissingColumns=True).groupBy(key)
-    n = {side: F.coalesce(F.sum(side), F.lit(0)).alias(side) for side in ("background", "target")}
-    return stored(both.agg(*n.values()), name)
-
-
-def fit(docs: DataFrame, target: DataFrame) -> Models:
-    """Models of all ``docs`` and of the ``target`` documents among them, matched in all but the counts.
-
-    Vocabulary and bigrams are chosen by their share of the whole corpus. Both models weigh the same parts with the same weights,
-    whatever their sizes. All counts are exact and over all words; words and bigrams below their share make up the
-    unknown word and the back-off. The driver sees only what the shares bound.
+            for own, mark, text in zip(*(batch.column(n).to_pylist() for n in ("block", "target", "text"))):
+                if own != block:
+                    yield from emit(block, texts, target)
+                    block, texts, target = own, [], []
+                texts.append(text)
+                target.append(mark)
+        yield from emit(block, texts, target)
+
+    def emit(block: int | None, texts: list, target: list) -> Iterator[pa.RecordBatch]:
+        if not texts:
+            return
+        key, *n = own_counts(tokens(texts), np.array(target, bool))
+        for at in range(0, len(key), 100_000):
+            columns = [key.view(np.int64), *n]
+            columns = [np.full(len(key[at : at + 100_000]), block), *(c[at : at + 100_000] for c in columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "key", "background", "target"])
+
+    return blocks.select("block", "target", "text").mapInArrow(count, "block long, key long, background long, target long")
+
+
+def shared_counts(counts: DataFrame) -> DataFrame:
+    """The counts of the whole corpus, for each block that has the key; a key that only one block has is left out, as the block's own
+    counts are the corpus's. A key has one row for each block that holds it, so that no key is hot."""
+    of_key = Window.partitionBy("key")
+    both = {side: F.sum(side).over(of_key) for side in ("background", "target")}
+    total = counts.select("block", "key", F.col("background").alias("own"), *(n.alias(side) for side, n in both.items()))
+    return total.where("background > own").drop("own")
+
+
+def corpus_counts(t: Tokens, target: np.ndarray, shared: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the texts, ascending, and their counts in the whole corpus, in columns for target and background."""
+    keys, background, of_target = own_counts(t, target)
+    n = np.stack([of_target, background], axis=1)
+    key, shared_target, shared_background = shared
+    place = np.searchsorted(keys, key)
+    n[place, 0], n[place, 1] = shared_target, shared_background
+    return keys, n
+
+
+def losses(t: Tokens, target: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What each word's probabilities cost in nats under the target and the background model, its own text left out of both."""
+    taken = np.stack([target[t.doc], np.ones(len(t.doc), bool)], axis=1)
+
+    def others(key: np.ndarray) -> np.ndarray:
+        """Counts of each word's key in other texts."""
+        place = np.searchsorted(keys, key)
+        _, at, own = np.unique(t.doc * len(keys) + place, return_inverse=True, return_counts=True)
+        return n[place] - own[at, None] * taken
+
+    total = n[np.searchsorted(keys, ALL)]
+    rest = total - t.lengths[t.doc, None] * taken
+    # What begins the text is in it once; a word before another is in it as often as it occurs, at its end too.
+    begins = t.before == BEGIN
+    before = n[np.searchsorted(keys, t.before)]
+    seen, own = np.unique(t.doc * len(keys) + np.searchsorted(keys, t.word), return_counts=True)
+    at = np.searchsorted(seen, t.doc * len(keys) + np.searchsorted(keys, t.before)).clip(max=len(seen) - 1)
+    context = before - np.where(begins, 1, own[at])[:, None] * taken
+
+    share = np.divide(others(t.word), rest, out=np.zeros(rest.shape), where=rest > 0)
+    single = (1 - UNIFORM_WEIGHT) * share + UNIFORM_WEIGHT / total[1]
+    pair = np.divide(others(t.pair), context, out=np.zeros(rest.shape), where=context > 0)
+    return -np.log(np.where(context > 0, BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * single, single))
+
+
+def score(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """Score ``docs`` (doc_id, target, text) under the models of those with ``target`` and of all.
+
+    One row per document: n_words, mean loss per word under each model, and ``score``, the mean of the words' differences: the
+    smaller, the more like the target. A null or empty text has no words, losses and score of 0.
+
+    Every word and bigram of the corpus counts; nothing is cut off and no model is collected or sent to all tasks. Documents go in
+    blocks of ``size`` bytes, which send their distinct words and bigrams to be summed over all blocks and get back the
+    corpus's counts of them. A text longer than that is one block, whose words one task holds as numbers.
     """
-    counts = _matched(word_counts(docs, "background"), word_counts(target, "target"), "word", "lm-words")
-    totals = counts.agg(F.sum("background"), F.sum("target")).first()
-    total = np.array([totals[1] or 0, totals[0] or 0], np.float64)
-    frequent = max(LEAST_COUNT, ceil(WORD_SHARE * total[1]))
-    known = counts.where(F.col("background") >= frequent).orderBy("word").toArrow()
-    words = known.column("word").to_pylist()
-    size = len(words) + 2
-    own = np.zeros((size, 2))
-    own[2:, 0], own[2:, 1] = known.column("target").to_numpy(), known.column("background").to_numpy()
-    own[UNKNOWN] = total - own.sum(axis=0)
-    share = np.divide(own, total, out=np.zeros_like(own), where=total > 0)
-    single = (1 - UNIFORM_WEIGHT) * share + UNIFORM_WEIGHT / (size - 1)
-
-    pairs = _matched(bigram_counts(docs, words, "background"), bigram_counts(target, words, "target"), "key", "lm-bigrams")
-    contexts = pairs.groupBy(F.expr(f"key div {size}").alias("first")).agg(
-        F.sum("target").alias("target"), F.sum("background").alias("background")
-    ).toArrow()
-    context = np.zeros((size, 2))
-    at = contexts.column("first").to_numpy()
-    context[at, 0], context[at, 1] = contexts.column("target").to_numpy(), contexts.column("background").to_numpy()
-    frequent = max(LEAST_COUNT, ceil(BIGRAM_SHARE * total[1]))
-    kept = pairs.where(F.col("background") >= frequent).orderBy("key").toArrow()
-    keys = kept.column("key").to_numpy()
-    n = np.stack([kept.column("target").to_numpy(), kept.column("background").to_numpy()], axis=1).astype(np.float64)
-    of_first = context[keys // size]
-    pair = BIGRAM_WEIGHT * np.divide(n, of_first, out=np.zeros_like(n), where=of_first > 0)
-    taken = np.zeros((size, 2))
-    np.add.at(taken, keys // size, pair)
-    return Models(words, single, 1 - taken, keys, pair)
-
-
-def losses(ids: np.ndarray, models: Models) -> np.ndarray:
-    """For each word, what its probabilities cost in nats under the target and the background model."""
-    size = len(models.single)
-    keys = _keys(ids, size)
-    chance = models.back_off[keys // size] * models.single[ids]
-    if len(models.pairs):
-        place = np.searchsorted(models.pairs, keys).clip(max=len(models.pairs) - 1)
-        hit = models.pairs[place] == keys
-        chance[hit] += models.pair[place[hit]]
-    return -np.log(chance)
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """One row per document: n_words, mean loss per word under each model, and ``score``, the mean of the
-    words' differences: the smaller, the more like the target. A null or empty text has no words, losses and score of 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (models.words, models.single, models.back_off, models.pairs, models.pair)
-    )
-
-    def prepare():
-        own = Models(*sent.value)
-        number = {word: place + 2 for place, word in enumerate(own.words)}
-
-        def of(text: str | None) -> dict:
-            ids = _ids(text, number)
-            mean = losses(ids, own).mean(axis=0).tolist() if len(ids) else [0.0, 0.0]
-            return {"n_words": len(ids), "target_loss": mean[0], "background_loss": mean[1]}
-
-        return of
-
-    rows = docs.select("doc_id", row_function(_LOSSES, prepare)(F.col("text")).alias("s")).select("doc_id", "s.*")
-    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    blocks = in_blocks(docs, size)
+    shared = shared_counts(block_counts(blocks))
+
+    def of_block(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        t = tokens(texts.column("text").to_pylist())
+        target = texts.column("target").to_numpy()
+        mean = np.zeros((texts.num_rows, 2))
+        if len(t.word):
+            key = counts.column("key").to_numpy().view(np.uint64)
+            given = (key, counts.column("target").to_numpy(), counts.column("background").to_numpy())
+            cost = losses(t, target, *corpus_counts(t, target, given))
+            for side in range(2):
+                mean[:, side] = np.bincount(t.doc, cost[:, side], texts.num_rows) / np.maximum(t.lengths, 1)
+        columns = [texts.column("doc_id"), t.lengths, mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1]]
+        return pa.table(dict(zip(("doc_id", "n_words", "target_loss", "background_loss", "score"), columns)))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(of_block, _SCORES.format(kind))
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     """Score every document; the target is the documents whose ``quality`` label is 1, the background all documents.
 
+    A document never counts as evidence for itself: its own words and bigrams are left out of both models. A bigram's probability is 0.7
+    of its share among those of its first word and 0.3 of the single word's, which is 0.99 of its share and 0.01 spread evenly;
+    after a word that the rest of a side's documents lack, it is the single word's alone. Words and bigrams are known by 64-bit
+    hashes.
+
     Labels with null doc_id or quality don't count, nor do repeated ones twice. A corpus without target documents has a uniform
-    target model. Repeated rows each get a row and count each time. Losses are rounded to six places. Other columns than doc_id and text
-    are not used.
+    target model. Repeated rows each get a row and count each time, so that copies are evidence for one another. Losses are rounded to
+    six places. Other columns than doc_id and text are not used.
     """
-    own = docs.select("doc_id", "text")
-    chosen = labels.where("quality = 1").select("doc_id").distinct()
-    likely = likely_members(own, chosen, "doc_id")
-    target = stored(likely.join(chosen, "doc_id", "left_semi").select("text"), "lm-target")
+    chosen = stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "lm-target")
+    marked = docs.select("doc_id", "text").join(chosen.withColumn("target", F.lit(True)), "doc_id", "left")
+    flagged = marked.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
     rounded = {n: F.round(n, 6) for n in ("target_loss", "background_loss", "score")}
-    return score(own, fit(own, target)).withColumns(rounded)
+    return score(flagged, size).withColumns(rounded)

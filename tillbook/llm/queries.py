@@ -116,38 +116,36 @@ SQL: dict[str, str] = {
             ) t
         ),
         total AS (SELECT count(*)::DOUBLE AS b, count_if(target)::DOUBLE AS t FROM w),
-        known AS (
-            SELECT word, count(*) AS b, count_if(target) AS t FROM w GROUP BY word
-            HAVING count(*) >= greatest(2, ceil(1e-5 * (SELECT b FROM total)))
+        g AS (SELECT *, coalesce(lag(word) OVER (PARTITION BY row ORDER BY place), '') AS prev FROM w),
+        own_word AS (SELECT row, word, count(*) AS n FROM w GROUP BY row, word),
+        size AS (SELECT row, count(*) AS n FROM w GROUP BY row),
+        words AS (
+            SELECT word, count(*)::DOUBLE AS b, count_if(target)::DOUBLE AS t FROM w GROUP BY word
+            UNION ALL SELECT '', count(*), count_if(target) FROM g WHERE prev = ''
         ),
-        rest AS (
-            SELECT '' AS word, (SELECT b FROM total) - coalesce(sum(b), 0) AS b, (SELECT t FROM total) - coalesce(sum(t), 0) AS t
-            FROM known
+        pairs AS (SELECT prev, word, count(*)::DOUBLE AS b, count_if(target)::DOUBLE AS t FROM g GROUP BY prev, word),
+        own_pair AS (SELECT row, target::INT AS mine, prev, word, count(*) AS n FROM g GROUP BY row, target, prev, word),
+        others AS (
+            SELECT o.row, o.n AS times,
+                   p.b - o.n AS pair_b, p.t - mine * o.n AS pair_t,
+                   v.b - coalesce(ov.n, 1) AS context_b, v.t - mine * coalesce(ov.n, 1) AS context_t,
+                   x.b - ow.n AS word_b, x.t - mine * ow.n AS word_t,
+                   total.b - size.n AS rest_b, total.t - mine * size.n AS rest_t, 0.01 / total.b AS even
+            FROM own_pair o JOIN pairs p USING (prev, word)
+            JOIN words v ON v.word = o.prev LEFT JOIN own_word ov ON ov.row = o.row AND ov.word = o.prev
+            JOIN words x ON x.word = o.word JOIN own_word ow ON ow.row = o.row AND ow.word = o.word
+            JOIN size ON size.row = o.row, total
         ),
-        size AS (SELECT count(*) + 1 AS v FROM known),
         single AS (
-            SELECT word, 0.99 * u.b / total.b + 0.01 / v AS b,
-                   0.99 * CASE WHEN total.t > 0 THEN u.t / total.t ELSE 0 END + 0.01 / v AS t
-            FROM (SELECT * FROM known UNION ALL SELECT * FROM rest) u, total, size
-        ),
-        i AS (SELECT w.* EXCLUDE (word), coalesce(known.word, '') AS word FROM w LEFT JOIN known USING (word)),
-        g AS (
-            SELECT *, coalesce(lag(word) OVER (PARTITION BY row ORDER BY place), '<begin> ') AS prev FROM i
-        ),
-        pairs AS (SELECT prev, word, count(*)::DOUBLE AS b, count_if(target)::DOUBLE AS t FROM g GROUP BY prev, word),
-        context AS (SELECT prev, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY prev),
-        pair AS (
-            SELECT p.prev, p.word, 0.7 * p.b / c.b AS b, CASE WHEN c.t > 0 THEN 0.7 * p.t / c.t ELSE 0 END AS t
-            FROM pairs p JOIN context c USING (prev)
-            WHERE p.b >= greatest(2, ceil(2e-6 * (SELECT b FROM total)))
+            SELECT *, CASE WHEN rest_b > 0 THEN 0.99 * word_b / rest_b ELSE 0 END + even AS single_b,
+                   CASE WHEN rest_t > 0 THEN 0.99 * word_t / rest_t ELSE 0 END + even AS single_t
+            FROM others
         ),
-        taken AS (SELECT prev, sum(b) AS b, sum(t) AS t FROM pair GROUP BY prev),
         loss AS (
-            SELECT g.row, count(*) AS n,
-                   avg(-ln((1 - coalesce(taken.t, 0)) * single.t + coalesce(pair.t, 0))) AS t,
-                   avg(-ln((1 - coalesce(taken.b, 0)) * single.b + coalesce(pair.b, 0))) AS b
-            FROM g JOIN single USING (word) LEFT JOIN pair USING (prev, word) LEFT JOIN taken USING (prev)
-            GROUP BY g.row
+            SELECT row, sum(times)::BIGINT AS n,
+                   sum(-ln(CASE WHEN context_t > 0 THEN 0.7 * pair_t / context_t + 0.3 * single_t ELSE single_t END) * times) / sum(times) AS t,
+                   sum(-ln(CASE WHEN context_b > 0 THEN 0.7 * pair_b / context_b + 0.3 * single_b ELSE single_b END) * times) / sum(times) AS b
+            FROM single GROUP BY row
         )
         SELECT doc_id, coalesce(n, 0) AS n_words, round(coalesce(t, 0), 6) AS target_loss,
                round(coalesce(b, 0), 6) AS background_loss, round(coalesce(t - b, 0), 6) AS score

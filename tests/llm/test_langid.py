@@ -98,3 +98,33 @@ def test_markup():
 def test_sample_of_a_language_is_bounded(spark, learned):
     few, all_ = li.fit(learned, 2), li.fit(learned)
     assert few.languages == all_.languages and not np.array_equal(few.logs, all_.logs) or few.logs.shape == all_.logs.shape
+
+
+def test_markup_equals_plain_patterns():
+    import random
+    import re
+
+    hidden = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.IGNORECASE | re.DOTALL)
+    declared = re.compile(
+        r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])"
+        r"|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})(?![a-z])",
+        re.IGNORECASE,
+    )
+    bits = ["<", ">", "<!--", "-->", "<script", "</SCRIPT >", "<style>", "</style", "<html", "<Meta", " lang=", "'de", "en ", "fra",
+            "content-language", " content = ", " ", "x", "<scripts", "</template>", "<template ", "\n", "-", "<html lang=xyzz"]
+    draw = random.Random(3)
+    for _ in range(20_000):
+        page = "".join(draw.choices(bits, k=draw.randint(0, 14)))
+        assert li.visible_text(page) == hidden.sub(" ", page), page
+        found = declared.search(page)
+        assert li.declared_language(page) == (found and (found[1] or found[2]).lower()), page
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    import time
+
+    for piece in ("<script ", "<html ", "<meta content-language ", "<!-- ", "<", "<style></style ", "<html lang= "):
+        start = time.monotonic()
+        page = piece * (1_000_000 // len(piece))
+        assert li.visible_text(page) and li.declared_language(page) is None
+        assert time.monotonic() - start < 4, piece

@@ -28,12 +28,14 @@ CELL = 0.5
 #: Text posteriors are summed as whole millionths, so that sums don't depend on their order.
 UNIT = 1_000_000
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.IGNORECASE | re.DOTALL)
-_DECLARED = re.compile(
-    r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])"
-    r"|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})(?![a-z])",
-    re.IGNORECASE,
-)
+_MARKUP = re.compile(r"<(?:(!--)|(script|style|noscript|template)\b)?", re.IGNORECASE)
+_CLOSING = {
+    name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "noscript", "template")
+}
+_DECLARING = re.compile(r"<(html|meta)\b", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])", re.IGNORECASE)
+_NAMED = re.compile("content-language", re.IGNORECASE)
+_CONTENT = re.compile(r"content\s*=\s*[\"']?([a-z]{2,3})(?![a-z])", re.IGNORECASE)
 _WORD_BYTES = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
@@ -41,13 +43,59 @@ _WORD_BYTES = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
 def visible_text(page: str | None) -> str:
-    return html_text.unescape(_HIDDEN.sub(" ", page)) if page else ""
+    """The text outside of tags, comments, scripts and the like. What is opened and not closed is a tag, or else text.
+
+    One scan forwards: a closing mark that isn't found is not sought again.
+    """
+    page, parts, at, lacking = page or "", [], 0, set()
+
+    def past(closing: str, start: int) -> int:
+        """Where the next closing mark ends, or -1."""
+        if closing in lacking:
+            return -1
+        if closing in _CLOSING:
+            found = _CLOSING[closing].search(page, start)
+            end = found.end() if found else -1
+        else:
+            found = page.find(closing, start)
+            end = found + len(closing) if found >= 0 else -1
+        if end < 0:
+            lacking.add(closing)
+        return end
+
+    start = 0
+    while opened := _MARKUP.search(page, start):
+        end = past("-->" if opened[1] else opened[2].casefold(), opened.end()) if opened[1] or opened[2] else -1
+        if end < 0:
+            end = past(">", opened.start() + 1)
+        if end < 0:
+            start = opened.start() + 1
+            continue
+        parts.append(page[at : opened.start()])
+        at = start = end
+    return html_text.unescape(" ".join([*parts, page[at:]]))
 
 
 def declared_language(page: str | None) -> str | None:
-    """The primary subtag, of two or three letters, that the markup declares."""
-    found = _DECLARED.search(page or "")
-    return (found[1] or found[2]).lower() if found else None
+    """The primary subtag, of two or three letters, that the markup declares first: ``lang`` of html, or a content-language.
+
+    Of the html and of the meta tags that open before the same ``>`` the first says all that a later one could.
+    """
+    page, at = page or "", 0
+    while opened := _DECLARING.search(page, at):
+        at = page.find(">", opened.end())
+        at = len(page) if at < 0 else at
+        tried = set()
+        for tag in _DECLARING.finditer(page, opened.start(), at):
+            kind = tag[1].lower()
+            if kind in tried:
+                continue
+            tried.add(kind)
+            named = tag if kind == "html" else _NAMED.search(page, tag.end(), at)
+            found = named and (_LANG if kind == "html" else _CONTENT).search(page, named.end(), at)
+            if found:
+                return found[1].lower()
+    return None
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -123,7 +171,11 @@ def text_evidence(page: str | None, logs: np.ndarray, weight: float = TEXT_WEIGH
 # --- Fusion -----------------------------------------------------------------------------------
 
 _SEEN = T.StructType(
-    [T.StructField("declared", T.StringType()), T.StructField("logs", T.ArrayType(T.DoubleType()))]
+    [
+        T.StructField("declared", T.StringType()),
+        T.StructField("logs", T.ArrayType(T.DoubleType())),
+        T.StructField("q", T.ArrayType(T.LongType())),
+    ]
 )
 
 
@@ -140,7 +192,12 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
 
     def prepare():
         logs = sent.value
-        return lambda page: {"declared": declared_language(page), "logs": text_evidence(page, logs)}
+
+        def of(page: str | None) -> dict:
+            own = text_evidence(page, logs)
+            return {"declared": declared_language(page), "logs": own, "q": np.floor(softmax(own) * UNIT + 0.5).astype(int).tolist()}
+
+        return of
 
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), row_function(_SEEN, prepare)(F.col("html")).alias("s"))
     labels = F.split("host", r"\.")
@@ -149,14 +206,12 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
         seen.select("page_id", "host", "s.*")
         .withColumn("domain", F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), "."))
         .withColumn("suffix", F.when(~last.rlike("^[0-9]+$") & (F.size(labels) > 1), last))
-        .withColumn("q", F.transform(softmax(F.col("logs")), lambda p: F.round(p * UNIT).cast("long")))
     )
 
 
-def softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    odds = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+def softmax(logs: list[float] | np.ndarray) -> np.ndarray:
+    odds = np.exp(np.asarray(logs, float) - max(logs, default=0.0))
+    return odds / odds.sum()
 
 
 def _sums(seen: DataFrame, size: int, *keys: str) -> DataFrame:
@@ -196,7 +251,7 @@ def identify(pages: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS) -> DataF
         )
     seen = stored(evidence(pages, model), "langid-evidence")
     total = _sums(seen, size).first()["by_all"]
-    totals = F.array(*[F.lit(int(n or 0)) for n in total])
+    totals = np.array([n or 0 for n in total], np.int64)
     hosts = _sums(seen.where("host is not null"), size, "host", "domain", "suffix")
     domains = _sums(seen.where("host is not null"), size, "domain")
     suffixes = _sums(seen.where("suffix is not null"), size, "suffix")
@@ -205,37 +260,33 @@ def identify(pages: DataFrame, docs: DataFrame, rows: int = TRAIN_ROWS) -> DataF
     known = hosts.join(domains, "domain").join(suffixes, "suffix", "left").drop("domain", "suffix")
     joined = seen.join(known, "host", "left").join(F.broadcast(declared), "declared", "left")
 
-    def others(counts: str | Column, i: Column) -> Column:
-        """The count of a language in pages other than this one, at least 0."""
-        column = F.col(counts) if isinstance(counts, str) else counts
-        return F.greatest(F.get(column, i) - F.get(F.col("q"), i), F.lit(0)) / UNIT
-
-    def all_others(counts: str | Column) -> Column:
-        column = F.col(counts) if isinstance(counts, str) else counts
-        n = F.aggregate(column, F.lit(0).cast("long"), lambda a, b: a + b)
-        own = F.aggregate(F.col("q"), F.lit(0).cast("long"), lambda a, b: a + b)
-        return F.greatest(n - own, F.lit(0)) / UNIT
-
-    def smoothed(counts: str, i: Column, wider: Column) -> Column:
-        prior = (others(counts, i) + SMOOTHING * wider) / (all_others(counts) + SMOOTHING)
-        return F.coalesce(prior, wider)
-
-    def likelihood(counts: str, kinds: int, i: Column) -> Column:
-        found = (others(counts, i) + CELL) / (others(totals, i) + CELL * max(kinds, 1))
-        return F.coalesce(found, F.lit(1.0))
-
-    def log_posterior(text: Column, i: Column) -> Column:
-        prior = (others(totals, i) + 1) / (all_others(totals) + size)
-        prior = smoothed("by_host", i, smoothed("by_domain", i, prior))
-        return (
-            text
-            + F.log(prior)
-            + F.log(likelihood("by_suffix", n_suffix, i))
-            + F.log(likelihood("by_declared", n_declared, i))
-        )
-
+    def prepare():
+        def of(page: dict) -> list[float]:
+            q = np.array(page["q"], np.int64)
+
+            def others(counts) -> np.ndarray:
+                """The counts of the languages in pages other than this one, at least 0."""
+                return np.maximum(np.asarray(counts, np.int64) - q, 0) / UNIT
+
+            def all_others(counts) -> float:
+                return max(int(np.sum(counts)) - int(q.sum()), 0) / UNIT
+
+            elsewhere = others(totals)
+            prior = (elsewhere + 1) / (all_others(totals) + size)
+            for name in ("by_domain", "by_host"):
+                if page[name] is not None:
+                    prior = (others(page[name]) + SMOOTHING * prior) / (all_others(page[name]) + SMOOTHING)
+            logs = page["logs"] + np.log(prior)
+            for name, kinds in (("by_suffix", n_suffix), ("by_declared", n_declared)):
+                if page[name] is not None:
+                    logs = logs + np.log((others(page[name]) + CELL) / (elsewhere + CELL * max(kinds, 1)))
+            return softmax(logs).tolist()
+
+        return of
+
+    page = F.struct("q", "logs", "by_host", "by_domain", "by_suffix", "by_declared")
     names = F.array(*[F.lit(name) for name in model.languages])
-    fused = joined.withColumn("fused", softmax(F.transform("logs", log_posterior)))
+    fused = joined.withColumn("fused", row_function(T.ArrayType(T.DoubleType()), prepare)(page))
     has_text = F.array_min("logs") < 0
 
     def first_of(values: Column) -> Column:

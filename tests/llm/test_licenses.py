@@ -82,3 +82,27 @@ def test_many_words_put_in_or_left_out_at_one_place(docs):
     assert [[s.label for s in found[i].spans] for i in range(6)] == [["mit"], ["mit"], ["mit"], [], ["mit", "mit"], ["mit"]]
     assert (found[0].spans[0].start, found[0].spans[0].end) == (0, len(lic.license_words(texts[0])))
     assert found[5].spans[0].score == 1.0
+
+
+@pytest.mark.parametrize("label, text", lic.TEMPLATES)
+def test_every_template_has_its_own_label(label, text):
+    known = [lic.Template(own, len(lic.license_words(t))) for own, t in lic.TEMPLATES]
+    hits = {}
+    words = lic.license_words(f"a b {text} c d")
+    for place, gram in enumerate(lic.rolling_hashes(words).tolist()):
+        for number, (_, other) in enumerate(lic.TEMPLATES):
+            for position, of_other in enumerate(lic.rolling_hashes(lic.license_words(other)).tolist()):
+                if gram == of_other:
+                    hits.setdefault((number, place - position), []).append(position)
+    spans = lic.merge_diagonals([(n, d, p) for (n, d), p in hits.items()], known)
+    assert [s for s in spans if s[0] == label and (s[1], s[2]) == (2, len(words) - 2) and s[3] == 1.0]
+
+
+def test_a_long_text_of_one_notice_takes_linear_time(docs):
+    import time
+
+    times = 80_000
+    start = time.monotonic()
+    (row,) = lic.digest(docs([(1, "released under the mit license by us " * times)])).collect()
+    assert (row.n_base, row.first_word, row.last_word, row.labels) == (times, 1, 7 * (times - 1) + 1, "mit")
+    assert time.monotonic() - start < 60

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -64,6 +65,69 @@ TEMPLATES = (
         "the following conditions are met",
     ),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "gpl-2",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ),
+    (
+        "lgpl-3",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    (
+        "lgpl-2.1",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ),
+    (
+        "agpl-3",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "bsd-3",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for "
+        "any purpose, including commercial applications, and to alter it and redistribute it freely",
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "boost",
+        "Distributed under the Boost Software License, Version 1.0",
+    ),
+    (
+        "epl-2",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    ),
+    (
+        "cc0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    ),
+    (
+        "cc-by-nd",
+        "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License",
+    ),
+    (
+        "cc-by-nc-sa",
+        "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    ),
+    (
+        "cc-by-nc-nd",
+        "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    ),
+    ("artistic-2", "This program is free software; you can redistribute it under the terms of the Artistic License 2.0"),
+    ("public-domain", "This work has been dedicated to the public domain and may be used without restriction"),
 )
 
 # Words are letters, digits and everything beyond ASCII, A-Z in lower case.
@@ -111,9 +175,11 @@ def base_places(words: Sequence[bytes]) -> list[tuple[int, str]]:
     found = []
     for phrase, label in BASE.items():
         needle = f" {phrase} ".encode()
+        word = last = 0
         at = joined.find(needle)
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            word, last = word + joined.count(b" ", last, at), at
+            found.append((word, label))
             at = joined.find(needle, at + 1)
     return found
 
@@ -163,8 +229,9 @@ def merge_diagonals(hits: Sequence[tuple[int, int, list[int]]], templates: Seque
     """Spans (label, start, end, score) from (template, diagonal, positions matched on it).
 
     A diagonal is where the template would start in the document. Neighbouring ones are one occurrence with words put in or
-    left out; of the ways to join those up to ``gap`` apart, the best stays. A span holds if enough of the template's words, and of its own words, are matched. Of overlapping spans with
-    different labels the one that matches best stays.
+    left out; of the ways to join those up to ``gap`` apart, the best stays. A span holds if enough of the template's words, and
+    of its own words, are matched. Of overlapping spans with different labels the one that matches best stays. The time is that of
+    sorting the hits, however often a text repeats a notice.
     """
     by_template: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
     for template, diagonal, positions in hits:
@@ -197,8 +264,10 @@ def merge_diagonals(hits: Sequence[tuple[int, int, list[int]]], templates: Seque
                     break
         taken: list[tuple[int, int]] = []
         for span in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s)):
-            if all(span[2] <= a or b <= span[1] for a, b in taken):
-                taken.append(span[1:3])
+            # Those taken don't overlap and ascend, so the neighbours tell.
+            at = bisect_left(taken, span[1:3])
+            if (at == 0 or taken[at - 1][1] <= span[1]) and (at == len(taken) or span[2] <= taken[at][0]):
+                taken.insert(at, span[1:3])
                 found.append(span)
     kept: list[tuple] = []
     reach: dict[int, str] = {}

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import stored, words_of
@@ -64,66 +65,101 @@ def own_counts(t: Tokens, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return found, np.bincount(place, minlength=size), np.bincount(place[target[doc]], minlength=size)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, compressed with their bytes of equal weight side by side."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
 def in_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with their ``block``, written: what belongs to a block is then the same however often it is read."""
+    """(block, bytes, data): ``docs`` in blocks of about ``size`` bytes of text, each one row of compressed Arrow data, written: what
+    belongs to a block is then the same however often it is read."""
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, filled = TaskContext.get().partitionId() << 32, 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled, parts = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
-            blocks = np.zeros(batch.num_rows, np.int64)
+            begin = 0
             for row, length in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
                 filled += length or 0
                 if filled > size:
-                    block, filled = block + 1, length or 0
-                blocks[row] = block
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks)], names=["doc_id", "target", "text", "block"])
+                    parts.append(batch.slice(begin, row - begin))
+                    yield from emit(block, filled - (length or 0), parts)
+                    block, filled, parts, begin = block + 1, length or 0, [], row
+            parts.append(batch.slice(begin))
+        yield from emit(block, filled, parts)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = docs.mapInArrow(number, f"doc_id {kind}, target boolean, text string, block long")
-    return stored(numbered, "lm-blocks")
+    def emit(block: int, filled: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(part.num_rows for part in parts):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(parts).combine_chunks())
+            data = pa.array([sink.getvalue().to_pybytes()])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([filled]), data], names=["block", "bytes", "data"])
 
+    return stored(docs.select("doc_id", "target", "text").mapInArrow(gather, "block long, bytes long, data binary"), "lm-blocks")
 
-def block_counts(blocks: DataFrame) -> DataFrame:
-    """(block, key, background, target) of every word and bigram of each block."""
+
+def opened(data: bytes) -> tuple[pa.Array, Tokens, np.ndarray]:
+    """doc_id, tokens and target of the texts in a block."""
+    held = pa.ipc.open_stream(data).read_all()
+    return held.column("doc_id"), tokens(held.column("text").to_pylist()), held.column("target").to_numpy()
+
+
+def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
+    """(part, block, key, background, target) of the words and bigrams of each block, in one row for each of 2^``bits`` ranges of keys.
+
+    Keys are packed as the steps between them: hashes in order are about as many bits shorter as their number has.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, texts, target = None, [], []
         for batch in batches:
-            for own, mark, text in zip(*(batch.column(n).to_pylist() for n in ("block", "target", "text"))):
-                if own != block:
-                    yield from emit(block, texts, target)
-                    block, texts, target = own, [], []
-                texts.append(text)
-                target.append(mark)
-        yield from emit(block, texts, target)
-
-    def emit(block: int | None, texts: list, target: list) -> Iterator[pa.RecordBatch]:
-        if not texts:
-            return
-        key, *n = own_counts(tokens(texts), np.array(target, bool))
-        for at in range(0, len(key), 100_000):
-            columns = [key.view(np.int64), *n]
-            columns = [np.full(len(key[at : at + 100_000]), block), *(c[at : at + 100_000] for c in columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "key", "background", "target"])
-
-    return blocks.select("block", "target", "text").mapInArrow(count, "block long, key long, background long, target long")
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                _, t, target = opened(data.as_py())
+                key, *n = own_counts(t, target)
+                part = (key >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                spans = list(zip(cuts, [*cuts[1:], len(key)]))
+                steps = [packed(np.diff(key[i:j], prepend=np.uint64(0))) for i, j in spans]
+                counts = [pa.array([packed(side[i:j]) for i, j in spans], pa.binary()) for side in n]
+                columns = [pa.array(part[cuts]), pa.array(np.full(len(cuts), block)), pa.array(steps, pa.binary()), *counts]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "key", "background", "target"])
+
+    schema = "part long, block long, key binary, background binary, target binary"
+    return blocks.select("block", "data").mapInArrow(count, schema)
 
 
 def shared_counts(counts: DataFrame) -> DataFrame:
-    """The counts of the whole corpus, for each block that has the key; a key that only one block has is left out, as the block's own
-    counts are the corpus's. A key has one row for each block that holds it, so that no key is hot."""
-    of_key = Window.partitionBy("key")
-    both = {side: F.sum(side).over(of_key) for side in ("background", "target")}
-    total = counts.select("block", "key", F.col("background").alias("own"), *(n.alias(side) for side, n in both.items()))
-    return total.where("background > own").drop("own")
+    """(part, block, background, target): for each row of ``counts`` those of the whole corpus, of the same keys in the same order.
+
+    A range of keys has at most one row for each block, and each of its keys once in it, so no range is hot.
+    """
+
+    def of_part(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(steps), dtype=np.uint64) for steps in rows.column("key").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        out = {name: rows.column(name) for name in ("part", "block")}
+        for side in ("background", "target"):
+            own = np.concatenate([unpacked(n) for n in rows.column(side).to_pylist()])
+            total = np.bincount(place, own, len(found)).astype(np.int64)[place]
+            out[side] = pa.array([packed(n) for n in np.split(total, ends)], pa.binary())
+        return pa.table(out)
+
+    return counts.groupBy("part").applyInArrow(of_part, "part long, block long, background binary, target binary")
 
 
 def corpus_counts(t: Tokens, target: np.ndarray, shared: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the texts, ascending, and their counts in the whole corpus, in columns for target and background."""
+    """Keys of the texts, ascending, and their counts in the whole corpus, in columns for target and background.
+
+    ``shared`` names keys by their place and gives their counts on both sides; the others are in no other text.
+    """
     keys, background, of_target = own_counts(t, target)
     n = np.stack([of_target, background], axis=1)
-    key, shared_target, shared_background = shared
-    place = np.searchsorted(keys, key)
+    place, shared_target, shared_background = shared
     n[place, 0], n[place, 1] = shared_target, shared_background
     return keys, n
 
@@ -160,27 +196,29 @@ def score(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     smaller, the more like the target. A null or empty text has no words, losses and score of 0.
 
     Every word and bigram of the corpus counts; nothing is cut off and no model is collected or sent to all tasks. Documents go in
-    blocks of ``size`` bytes, which send their distinct words and bigrams to be summed over all blocks and get back the
-    corpus's counts of them. A text longer than that is one block, whose words one task holds as numbers.
+    blocks of ``size`` bytes. A block sends its distinct words and bigrams, packed by ranges of keys, of which there are about as many
+    as blocks, and gets back the corpus's counts in the same order. A text longer than ``size`` is one block, whose words one task
+    holds as numbers.
     """
     blocks = in_blocks(docs, size)
-    shared = shared_counts(block_counts(blocks))
+    filled = blocks.agg(F.sum("bytes")).first()[0] or 0
+    shared = shared_counts(block_counts(blocks, (filled // size).bit_length()))
 
     def of_block(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        t = tokens(texts.column("text").to_pylist())
-        target = texts.column("target").to_numpy()
-        mean = np.zeros((texts.num_rows, 2))
+        doc_id, t, target = opened(texts.column("data")[0].as_py())
+        mean = np.zeros((len(doc_id), 2))
         if len(t.word):
-            key = counts.column("key").to_numpy().view(np.uint64)
-            given = (key, counts.column("target").to_numpy(), counts.column("background").to_numpy())
-            cost = losses(t, target, *corpus_counts(t, target, given))
+            parts = counts.sort_by("part")
+            of_target, background = (np.concatenate([unpacked(n) for n in parts.column(side).to_pylist()]) for side in ("target", "background"))
+            cost = losses(t, target, *corpus_counts(t, target, (np.arange(len(background)), of_target, background)))
             for side in range(2):
-                mean[:, side] = np.bincount(t.doc, cost[:, side], texts.num_rows) / np.maximum(t.lengths, 1)
-        columns = [texts.column("doc_id"), t.lengths, mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1]]
+                mean[:, side] = np.bincount(t.doc, cost[:, side], len(doc_id)) / np.maximum(t.lengths, 1)
+        columns = [doc_id, t.lengths, mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1]]
         return pa.table(dict(zip(("doc_id", "n_words", "target_loss", "background_loss", "score"), columns)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(of_block, _SCORES.format(kind))
+    texts = blocks.select("block", "data").groupBy("block")
+    return texts.cogroup(shared.groupBy("block")).applyInArrow(of_block, _SCORES.format(kind))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:

@@ -55,14 +55,18 @@ def tokens(texts: list[str | None]) -> Tokens:
     return Tokens(np.repeat(np.arange(len(texts)), lengths), word, before, pair, lengths)
 
 
-def own_counts(t: Tokens, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, background, target) of the texts, keys ascending. What begins a document counts once for each text with a word."""
+def own_counts(t: Tokens, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, background, target) of the texts, keys ascending, and where among them each word, each bigram, and what begins a document
+    is. What begins a document counts once for each text with a word."""
     begin = np.flatnonzero(t.lengths)
-    keys = np.concatenate((t.word, t.pair, np.full(len(begin), BEGIN), np.full(len(t.word), ALL)))
-    doc = np.concatenate((t.doc, t.doc, begin, t.doc))
+    keys = np.concatenate((t.word, t.pair, np.full(len(begin), BEGIN), np.full(len(begin[:1]), ALL)))
     found, place = np.unique(keys, return_inverse=True)
-    size = len(found)
-    return found, np.bincount(place, minlength=size), np.bincount(place[target[doc]], minlength=size)
+    place, everything = place[: len(keys) - len(begin[:1])], place[len(keys) - len(begin[:1]) :]
+    marked = target[np.concatenate((t.doc, t.doc, begin))]
+    background, of_target = (np.bincount(p, minlength=len(found)) for p in (place, place[marked]))
+    background[everything] += t.lengths.sum()
+    of_target[everything] += t.lengths[target].sum()
+    return found, background, of_target, place
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -76,8 +80,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def in_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(block, bytes, data): ``docs`` in blocks of about ``size`` bytes of text, each one row of compressed Arrow data, written: what
-    belongs to a block is then the same however often it is read."""
+    """(block, bytes, ids, data): ``docs`` in blocks of about ``size`` bytes of text, each one row with its doc_ids and the texts as
+    compressed Arrow data, written: what belongs to a block is then the same however often it is read."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, filled, parts = TaskContext.get().partitionId() << 32, 0, []
@@ -93,20 +97,34 @@ def in_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         yield from emit(block, filled, parts)
 
     def emit(block: int, filled: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if any(part.num_rows for part in parts):
+        rows = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if rows:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(pa.Table.from_batches(parts).combine_chunks())
-            data = pa.array([sink.getvalue().to_pybytes()])
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([filled]), data], names=["block", "bytes", "data"])
+            with pa.ipc.new_stream(sink, rows.select(["text"]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.select(["text"]))
+            ids = pa.array([rows.column("doc_id").to_pylist()], pa.list_(rows.schema.field("doc_id").type))
+            columns = [pa.array([block]), pa.array([filled]), ids, pa.array([sink.getvalue().to_pybytes()])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "bytes", "ids", "data"])
 
-    return stored(docs.select("doc_id", "target", "text").mapInArrow(gather, "block long, bytes long, data binary"), "lm-blocks")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbered = docs.select("doc_id", "text").mapInArrow(gather, f"block long, bytes long, ids array<{kind}>, data binary")
+    return stored(numbered, "lm-blocks")
+
+
+def with_targets(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``blocks`` with ``targets``, the places of the documents whose doc_id is in ``chosen`` (distinct), or null. Texts are not joined
+    to ids: only the places found are sent to the blocks."""
+    ids = blocks.select("block", F.posexplode("ids").alias("place", "doc_id"))
+    places = ids.join(chosen, "doc_id").groupBy("block").agg(F.collect_list("place").alias("targets"))
+    return blocks.select("block", "ids", "data").join(places, "block", "left")
 
 
-def opened(data: bytes) -> tuple[pa.Array, Tokens, np.ndarray]:
-    """doc_id, tokens and target of the texts in a block."""
-    held = pa.ipc.open_stream(data).read_all()
-    return held.column("doc_id"), tokens(held.column("text").to_pylist()), held.column("target").to_numpy()
+def opened(data: bytes, targets: list[int] | None) -> tuple[Tokens, np.ndarray]:
+    """Tokens of the texts in a block, and which of the texts are of the target."""
+    t = tokens(pa.ipc.open_stream(data).read_all().column("text").to_pylist())
+    target = np.zeros(len(t.lengths), bool)
+    target[targets or []] = True
+    return t, target
 
 
 def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
@@ -117,19 +135,19 @@ def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                _, t, target = opened(data.as_py())
-                key, *n = own_counts(t, target)
+            for block, data, targets in zip(*(batch.column(name) for name in ("block", "data", "targets"))):
+                t, target = opened(data.as_py(), targets.as_py())
+                key, *n, _ = own_counts(t, target)
                 part = (key >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(part, prepend=-1))
                 spans = list(zip(cuts, [*cuts[1:], len(key)]))
                 steps = [packed(np.diff(key[i:j], prepend=np.uint64(0))) for i, j in spans]
                 counts = [pa.array([packed(side[i:j]) for i, j in spans], pa.binary()) for side in n]
-                columns = [pa.array(part[cuts]), pa.array(np.full(len(cuts), block)), pa.array(steps, pa.binary()), *counts]
+                columns = [pa.array(part[cuts]), pa.array([block.as_py()] * len(cuts), pa.int64()), pa.array(steps, pa.binary()), *counts]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "key", "background", "target"])
 
     schema = "part long, block long, key binary, background binary, target binary"
-    return blocks.select("block", "data").mapInArrow(count, schema)
+    return blocks.select("block", "data", "targets").mapInArrow(count, schema)
 
 
 def shared_counts(counts: DataFrame) -> DataFrame:
@@ -153,44 +171,45 @@ def shared_counts(counts: DataFrame) -> DataFrame:
 
 
 def corpus_counts(t: Tokens, target: np.ndarray, shared: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the texts, ascending, and their counts in the whole corpus, in columns for target and background.
+    """Where among the texts' keys each word and bigram is, and the keys' counts in the whole corpus, in columns for target and background.
 
     ``shared`` names keys by their place and gives their counts on both sides; the others are in no other text.
     """
-    keys, background, of_target = own_counts(t, target)
-    n = np.stack([of_target, background], axis=1)
+    keys, background, of_target, places = own_counts(t, target)
+    n = np.stack([of_target, background, keys == ALL], axis=1)
     place, shared_target, shared_background = shared
     n[place, 0], n[place, 1] = shared_target, shared_background
-    return keys, n
+    return places, n
 
 
-def losses(t: Tokens, target: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+def losses(t: Tokens, target: np.ndarray, places: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What each word's probabilities cost in nats under the target and the background model, its own text left out of both."""
-    taken = np.stack([target[t.doc], np.ones(len(t.doc), bool)], axis=1)
+    size = len(t.word)
+    word, pair, begin = places[:size], places[size : 2 * size], places[2 * size]
 
-    def others(key: np.ndarray) -> np.ndarray:
-        """Counts of each word's key in other texts."""
-        place = np.searchsorted(keys, key)
-        _, at, own = np.unique(t.doc * len(keys) + place, return_inverse=True, return_counts=True)
-        return n[place] - own[at, None] * taken
+    def in_own_text(place: np.ndarray) -> np.ndarray:
+        _, at, times = np.unique(t.doc * len(n) + place, return_inverse=True, return_counts=True)
+        return times[at]
 
-    total = n[np.searchsorted(keys, ALL)]
-    rest = total - t.lengths[t.doc, None] * taken
+    own_word, own_pair = in_own_text(word), in_own_text(pair)
     # What begins the text is in it once; a word before another is in it as often as it occurs, at its end too.
     begins = t.before == BEGIN
-    before = n[np.searchsorted(keys, t.before)]
-    seen, own = np.unique(t.doc * len(keys) + np.searchsorted(keys, t.word), return_counts=True)
-    at = np.searchsorted(seen, t.doc * len(keys) + np.searchsorted(keys, t.before)).clip(max=len(seen) - 1)
-    context = before - np.where(begins, 1, own[at])[:, None] * taken
-
-    share = np.divide(others(t.word), rest, out=np.zeros(rest.shape), where=rest > 0)
-    single = (1 - UNIFORM_WEIGHT) * share + UNIFORM_WEIGHT / total[1]
-    pair = np.divide(others(t.pair), context, out=np.zeros(rest.shape), where=context > 0)
-    return -np.log(np.where(context > 0, BIGRAM_WEIGHT * pair + (1 - BIGRAM_WEIGHT) * single, single))
-
-
-def score(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """Score ``docs`` (doc_id, target, text) under the models of those with ``target`` and of all.
+    before, own_before = (np.where(begins, first, np.roll(x, 1)) for first, x in ((begin, word), (1, own_word)))
+    totals = n[np.flatnonzero(n[:, 2])[0]]
+    cost = np.empty((size, 2))
+    for side, taken in enumerate((target[t.doc], True)):
+        count = np.ascontiguousarray(n[:, side])
+        rest = totals[side] - t.lengths[t.doc] * taken
+        share = np.divide(count[word] - own_word * taken, rest, out=np.zeros(size), where=rest > 0)
+        single = (1 - UNIFORM_WEIGHT) * share + UNIFORM_WEIGHT / totals[1]
+        context = count[before] - own_before * taken
+        both = np.divide(count[pair] - own_pair * taken, context, out=np.zeros(size), where=context > 0)
+        cost[:, side] = -np.log(np.where(context > 0, BIGRAM_WEIGHT * both + (1 - BIGRAM_WEIGHT) * single, single))
+    return cost
+
+
+def score(docs: DataFrame, chosen: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """Score ``docs`` (doc_id, text) under the models of those whose doc_id is in ``chosen`` (doc_id, distinct) and of all.
 
     One row per document: n_words, mean loss per word under each model, and ``score``, the mean of the words' differences: the
     smaller, the more like the target. A null or empty text has no words, losses and score of 0.
@@ -202,23 +221,24 @@ def score(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     """
     blocks = in_blocks(docs, size)
     filled = blocks.agg(F.sum("bytes")).first()[0] or 0
-    shared = shared_counts(block_counts(blocks, (filled // size).bit_length()))
+    marked = with_targets(blocks, chosen)
+    shared = shared_counts(block_counts(marked, (filled // size).bit_length()))
 
     def of_block(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        doc_id, t, target = opened(texts.column("data")[0].as_py())
-        mean = np.zeros((len(doc_id), 2))
+        ids, data, targets = (texts.column(name)[0] for name in ("ids", "data", "targets"))
+        t, target = opened(data.as_py(), targets.as_py())
+        mean = np.zeros((len(target), 2))
         if len(t.word):
             parts = counts.sort_by("part")
             of_target, background = (np.concatenate([unpacked(n) for n in parts.column(side).to_pylist()]) for side in ("target", "background"))
             cost = losses(t, target, *corpus_counts(t, target, (np.arange(len(background)), of_target, background)))
             for side in range(2):
-                mean[:, side] = np.bincount(t.doc, cost[:, side], len(doc_id)) / np.maximum(t.lengths, 1)
-        columns = [doc_id, t.lengths, mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1]]
+                mean[:, side] = np.bincount(t.doc, cost[:, side], len(target)) / np.maximum(t.lengths, 1)
+        columns = [ids.values, t.lengths, mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1]]
         return pa.table(dict(zip(("doc_id", "n_words", "target_loss", "background_loss", "score"), columns)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = blocks.select("block", "data").groupBy("block")
-    return texts.cogroup(shared.groupBy("block")).applyInArrow(of_block, _SCORES.format(kind))
+    return marked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(of_block, _SCORES.format(kind))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
@@ -234,7 +254,5 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = BLO
     six places. Other columns than doc_id and text are not used.
     """
     chosen = stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "lm-target")
-    marked = docs.select("doc_id", "text").join(chosen.withColumn("target", F.lit(True)), "doc_id", "left")
-    flagged = marked.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
     rounded = {n: F.round(n, 6) for n in ("target_loss", "background_loss", "score")}
-    return score(flagged, size).withColumns(rounded)
+    return score(docs, chosen, size).withColumns(rounded)

@@ -19,7 +19,7 @@ from tillbook.llm.common import stored, words_of
 #: Weight of the bigram's share among those of its first word, and of the uniform part of a single word's probability.
 BIGRAM_WEIGHT, UNIFORM_WEIGHT = 0.7, 0.01
 #: Text of a block, in bytes. A longer text is a block of its own.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 #: Keys of what begins a document and of all words together; those of words are other even numbers, of bigrams odd ones.
 BEGIN, ALL = np.uint64(0), np.uint64(2)
 
@@ -147,7 +147,7 @@ def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "key", "background", "target"])
 
     schema = "part long, block long, key binary, background binary, target binary"
-    return blocks.select("block", "data", "targets").mapInArrow(count, schema)
+    return blocks.mapInArrow(count, schema)
 
 
 def shared_counts(counts: DataFrame) -> DataFrame:
@@ -215,14 +215,15 @@ def score(docs: DataFrame, chosen: DataFrame, size: int = BLOCK_BYTES) -> DataFr
     smaller, the more like the target. A null or empty text has no words, losses and score of 0.
 
     Every word and bigram of the corpus counts; nothing is cut off and no model is collected or sent to all tasks. Documents go in
-    blocks of ``size`` bytes. A block sends its distinct words and bigrams, packed by ranges of keys, of which there are about as many
-    as blocks, and gets back the corpus's counts in the same order. A text longer than ``size`` is one block, whose words one task
+    blocks of ``size`` bytes. A block sends its distinct words and bigrams, packed by ranges of keys, of which there are about half as
+    many as blocks, and gets back the corpus's counts in the same order. A text longer than ``size`` is one block, whose words one task
     holds as numbers.
     """
     blocks = in_blocks(docs, size)
+    # All columns of what is marked are read both times, so that Spark shuffles the texts once.
     filled = blocks.agg(F.sum("bytes")).first()[0] or 0
     marked = with_targets(blocks, chosen)
-    shared = shared_counts(block_counts(marked, (filled // size).bit_length()))
+    shared = shared_counts(block_counts(marked, (filled // (2 * size)).bit_length()))
 
     def of_block(texts: pa.Table, counts: pa.Table) -> pa.Table:
         ids, data, targets = (texts.column(name)[0] for name in ("ids", "data", "targets"))

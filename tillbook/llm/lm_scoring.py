@@ -133,21 +133,22 @@ def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
     Keys are packed as the steps between them: hashes in order are about as many bits shorter as their number has.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data, targets in zip(*(batch.column(name) for name in ("block", "data", "targets"))):
-                t, target = opened(data.as_py(), targets.as_py())
-                key, *n, _ = own_counts(t, target)
-                part = (key >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                spans = list(zip(cuts, [*cuts[1:], len(key)]))
-                steps = [packed(np.diff(key[i:j], prepend=np.uint64(0))) for i, j in spans]
-                counts = [pa.array([packed(side[i:j]) for i, j in spans], pa.binary()) for side in n]
-                columns = [pa.array(part[cuts]), pa.array([block.as_py()] * len(cuts), pa.int64()), pa.array(steps, pa.binary()), *counts]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "key", "background", "target"])
+    def count(rows: pa.Table) -> pa.Table:
+        block, data, targets = (rows.column(name)[0] for name in ("block", "data", "targets"))
+        t, target = opened(data.as_py(), targets.as_py())
+        key, *n, _ = own_counts(t, target)
+        part = (key >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(cuts, [*cuts[1:], len(key)]))
+        out = {"part": part[cuts], "block": pa.repeat(block, len(cuts))}
+        out["key"] = pa.array([packed(np.diff(key[i:j], prepend=np.uint64(0))) for i, j in spans], pa.binary())
+        for side, own in zip(("background", "target"), n):
+            out[side] = pa.array([packed(own[i:j]) for i, j in spans], pa.binary())
+        return pa.table(out)
 
+    # By groups of one row, so that a batch of Arrow data is one block.
     schema = "part long, block long, key binary, background binary, target binary"
-    return blocks.mapInArrow(count, schema)
+    return blocks.groupBy("block").applyInArrow(count, schema)
 
 
 def shared_counts(counts: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import zstandard
+
 from tillbook.llm import quality as q
 
 random.seed(5)
@@ -68,3 +70,35 @@ def test_the_last_part_is_checked_and_chunks_weigh_by_bytes(docs):
     # Noise in a short last part weighs no more than its bytes.
     mixed = "".join((prose, prose[::-1], noise[:2000]))
     assert q.verdict(mixed, q.zstandard.ZstdCompressor(level=q.LEVEL).compress)["bad_chunks"] == 2000 / len(mixed)
+
+
+def plain_bands(text):
+    """(ratio, bad_chunks, within limits) of a text, a chunk at a time."""
+    data = (text or "").encode()
+
+    def fits(part):
+        ratio = len(part) / len(zstandard.compress(part, 3)) if part else 0.0
+        limits = [(low, high) for least, low, high in q.BANDS if least <= len(part)][-1]
+        return ratio, limits[0] <= ratio <= limits[1]
+
+    bad, rest = 0, data
+    while rest:
+        part, rest = rest[:4096], rest[4096:]
+        bad += 0 if fits(part)[1] else len(part)
+    share = bad / len(data) if data else 0.0
+    return fits(data)[0], share, fits(data)[1] and share <= 0.2
+
+
+def test_bands_equal_plain_ones(docs, corpus):
+    import base64
+
+    noise = base64.b64encode(random.Random(3).randbytes(9000)).decode()
+    made = [PROSE[:a] + noise[:b] + "z" * c for a in (0, 99, 4096, 5000) for b in (0, 1, 700, 4096, 9000) for c in (0, 5, 5000)]
+    table = docs(list(enumerate(TEXTS + made + [PROSE * 400])))
+    seen = set()
+    for source in (table, corpus):
+        for r in source.select("doc_id", "text").join(q.quality_rules(source), "doc_id").collect():
+            ratio, share, within = plain_bands(r.text)
+            assert (r.ratio, r.bad_chunks, r.kept) == (ratio, share, within and not r.base_failed)
+            seen.add((within, share > 0, r.base_failed))
+    assert len(seen) >= 5

@@ -1,6 +1,9 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from tillbook.llm import toxicity as t
 
@@ -64,3 +67,52 @@ def test_features_are_words_pairs_and_skips():
     assert len(two) == 3 and two == set(t.hashed_features("alpha, BETA!").tolist())
     assert len(t.hashed_features("a b c d")) == 4 + 3 + 2 + 1
     assert len(t.hashed_features(None)) == len(t.hashed_features("...")) == 0
+
+
+def plain_places(text):
+    """Words, pairs and skip-grams hashed one by one, in whole numbers."""
+    first, factors, mask = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93), 2**64 - 1
+    h = [zlib.crc32(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())]
+    mixed = list(h)
+    for gap in (1, 2, 3):
+        mixed += [(a * first ^ (b + gap) * factors[gap - 1]) & mask for a, b in zip(h, h[gap:])]
+    return {(x * first & mask) >> 44 for x in mixed}
+
+
+def plain_ftrl(examples, l1=6.0):
+    """FTRL-proximal with alpha and beta 1, a term at a time: (weights, bias)."""
+    z, n = {}, {}
+
+    def weight(i, penalty):
+        s = z.get(i, 0.0)
+        return 0.0 if abs(s) <= penalty else -(s - math.copysign(penalty, s)) / (1 + math.sqrt(n.get(i, 0.0)))
+
+    for places, label in examples:
+        terms = [(i, l1) for i in places] + [("bias", 0.0)]
+        w = {i: weight(i, penalty) for i, penalty in terms}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i, _ in terms:
+            before = n.get(i, 0.0)
+            n[i] = before + g * g
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) * w[i]
+    learned = {i: weight(i, l1) for i in z if i != "bias"}
+    return {i: w for i, w in learned.items() if w}, weight("bias", 0.0)
+
+
+def test_weights_and_scores_equal_plain_ftrl(spark, docs):
+    rows = made_up(300) + [(900, "Größe VILE; rotten-vile"), (901, ""), (902, None), (903, "vile " * 30_000)]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    table, marks = docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learned = t.fit(table, marks)
+
+    text, label = dict(rows), dict(labels)
+    kept = [(i,) for i in label if zlib.crc32(str(i).encode()) % 5]
+    order = spark.createDataFrame(kept, "doc_id long").selectExpr("doc_id", "explode(sequence(1, 3)) as epoch")
+    order = order.selectExpr("epoch", "xxhash64(doc_id, epoch) as h", "doc_id").collect()
+    weights, bias = plain_ftrl((plain_places(text[i]), label[i]) for _, _, i in sorted(map(tuple, order)))
+    assert weights and set(weights) == set(learned.places.tolist())
+    assert learned.bias == pytest.approx(bias, rel=1e-9)
+    assert dict(zip(learned.places.tolist(), learned.values.tolist())) == pytest.approx(weights, rel=1e-6)
+    for r in t.classify(table, marks).collect():
+        total = bias + sum(weights.get(i, 0.0) for i in plain_places(text[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6) and r.predicted == (r.score >= 0.5)

@@ -1,5 +1,10 @@
+import zlib
+
 import __spark_entry__ as entry_points
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import tokenizers
 from pyspark.sql import functions as F
 from tillbook.llm import decontamination, secrets, simhash, toxicity
 from tillbook.llm.common import table
@@ -34,8 +39,33 @@ def test_stages_do_what_they_say(spark, labels, benchmark_items):
 
 
 def test_run_packs_what_is_left(spark):
+    """Every id of every text that the stages before leave is in one place, and sequences have no gaps."""
+    docs = table(spark, FOLDER, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER).cache()
+    encode = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode
+    want = {r.doc_id: encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
+
     rows = corpus_pipeline.run(spark, FOLDER).collect()
-    assert rows and max(r.offset + r.length for r in rows) <= 2048
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == set(want)
+    for doc_id, own in pieces.items():
+        at = 0
+        for number, r in enumerate(sorted(own, key=lambda r: r.piece)):
+            ids = np.array(want[doc_id][at : at + r.length], "<u4").tobytes()
+            assert (r.piece, r.start, r.ids_crc32) == (number, at, zlib.crc32(ids))
+            at += r.length
+        assert at == len(want[doc_id])
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= 1.01 * -(-sum(map(len, want.values())) // 2048) + 1
 
 
 def test_registered():

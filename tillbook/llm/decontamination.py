@@ -210,10 +210,12 @@ def contamination(
     """(doc_id, item_id, distance, start, end) for each document and each benchmark item that occurs in it within the error budget.
 
     Letter case of A-Z and white space don't count. The budget is ``rate`` times the item's characters; of several occurrences the
-    closest, then the first is given, as code points of the document's text. Items of under ``least``
-    characters count only without edits and between word borders (in scripts without spaces, anywhere). A document whose text is null or empty has no row; a null item_id stays null; repeated
-    documents each get their rows, repeated items count once. The benchmark is sought in blocks of bounded size, one
-    pass over the documents for each.
+    closest, then the first is given, as code points of the document's text. Items of under ``least`` characters count only without
+    edits and between word borders (in scripts without spaces, anywhere).
+
+    A document whose text is null or empty has no row; a null item_id stays null; repeated documents each get their rows, repeated
+    items count once. Texts are searched whole, however long; one text is held by one task. Other columns than those named are not
+    used. The benchmark is sought in blocks of bounded size, one pass over the documents for each.
     """
     out = None
     spark = docs.sparkSession
@@ -229,7 +231,10 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents, all columns as they are, in which no benchmark item occurs."""
+    """The documents, all columns as they are, in which no benchmark item occurs.
+
+    Null and empty texts hold none and stay; of repeated rows all stay or all go. An empty benchmark keeps every document.
+    """
     spark = docs.sparkSession
     for block in item_blocks(benchmark, block_chars, rate, least):
         if block:

@@ -189,15 +189,19 @@ def score_of(text: Column, weights: Weights, spark: SparkSession) -> Column:
 
 
 def drop_toxic(docs: DataFrame, weights: Weights, least: float = 0.5) -> DataFrame:
-    """The documents, all columns as they are, that score under ``least``."""
+    """The documents, all columns as they are, that score under ``least``.
+
+    Null and empty texts score by the bias, so they stay unless most labelled texts are toxic; of repeated rows all stay or all go. Weights
+    without examples of both labels keep every document.
+    """
     return docs.where(score_of(F.col("text"), weights, docs.sparkSession) < least)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labelled documents outside the held-out fifth, then score every document.
 
-    Repeated rows each get a row, equal texts score the same, a null doc_id is not held out. Other columns than doc_id and text are
-    not used.
+    Repeated rows each get a row, equal texts score the same, a null doc_id is not held out. Texts are scored whole, however long; each
+    feature counts once, and one text is held by one task. Other columns than doc_id and text are not used.
     """
     scored = docs.select("doc_id", score_of(F.col("text"), fit(docs, labels), docs.sparkSession).alias("score"))
     return scored.select(

@@ -319,7 +319,11 @@ def find_licenses(docs: DataFrame, width: int = WIDTH, templates=TEMPLATES) -> D
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document with the base counts, both kinds of labels, and the best span's score (0 without one)."""
+    """One row per document with the base counts, both kinds of labels, and the best span's score (0 without one).
+
+    Null and empty texts have no words and labels; repeated rows each get their row. Texts are read whole, one by one task. Other columns
+    than doc_id and text are not used.
+    """
 
     def listed(labels: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")

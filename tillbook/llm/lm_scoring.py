@@ -232,8 +232,9 @@ def score(docs: DataFrame, chosen: DataFrame, size: int = BLOCK_BYTES) -> DataFr
         mean = np.zeros((len(target), 2))
         if len(t.word):
             parts = counts.sort_by("part")
-            of_target, background = (np.concatenate([unpacked(n) for n in parts.column(side).to_pylist()]) for side in ("target", "background"))
-            cost = losses(t, target, *corpus_counts(t, target, (np.arange(len(background)), of_target, background)))
+            packs = (parts.column(side).to_pylist() for side in ("target", "background"))
+            given = [np.concatenate([unpacked(n) for n in side]) for side in packs]
+            cost = losses(t, target, *corpus_counts(t, target, (np.arange(len(given[0])), *given)))
             for side in range(2):
                 mean[:, side] = np.bincount(t.doc, cost[:, side], len(target)) / np.maximum(t.lengths, 1)
         columns = [ids.values, t.lengths, mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1]]
@@ -253,7 +254,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = BLO
 
     Labels with null doc_id or quality don't count, nor do repeated ones twice. A corpus without target documents has a uniform
     target model. Repeated rows each get a row and count each time, so that copies are evidence for one another. Losses are rounded to
-    six places. Other columns than doc_id and text are not used.
+    six places. Texts are scored whole, however long, one text by one task. Other columns than doc_id and text are not used.
     """
     chosen = stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "lm-target")
     rounded = {n: F.round(n, 6) for n in ("target_loss", "background_loss", "score")}

@@ -71,7 +71,9 @@ def star_folder(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["c04_submit_orders"])
+@pytest.mark.parametrize("name", [
+    "c04_submit_orders", "j07_colocated",
+])
 def test_queries_run_with_a_bare_path_on_local_cluster(spark, star_folder, tmp_path, monkeypatch, name):
     expected = sorted(rows(QUERIES[name](spark, star_folder)), key=repr)
     get = RuntimeConfig.get

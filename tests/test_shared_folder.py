@@ -74,7 +74,7 @@ def star_folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "c04_submit_orders", "j07_colocated", "q18_colocated", "r08_rollup_top_items", "r08_rollup_totals", "s01_order_feed",
     "r13_rollup_usage", "s03_staged_load", "s02_menu_feed", "s04_table_versions", "t01_order_intake",
-    "t02_live_hourly_sales", "t03_live_day_totals", "w05_restock_blocks",
+    "t02_live_hourly_sales", "t03_live_day_totals", "w05_restock_blocks", "w08_append_orders",
 ])
 def test_queries_run_with_a_bare_path_on_local_cluster(spark, star_folder, tmp_path, monkeypatch, name):
     expected = sorted(rows(QUERIES[name](spark, star_folder)), key=repr)

@@ -94,3 +94,12 @@ def test_a_version_copies_only_its_path():
         assert path == [level[at >> k] for k, level in enumerate(again)]
         for k, (old, new) in enumerate(zip(built, again)):
             assert [x for i, x in enumerate(old) if i != at >> k] == [x for i, x in enumerate(new) if i != at >> k]
+
+
+def test_rows_that_are_not_altered_are_folded_too(spark, monkeypatch):
+    rows = [(i, "s", f"lang{i % 2}", i, f"text {i}") for i in range(40) if zlib.crc32(str(i).encode()) % 7]
+    assert all(r[6] for r in found(table_of(spark, rows), 2))
+    # With another fold no root is met: what is returned was computed from each leaf and its siblings.
+    monkeypatch.setattr(m, "folded", lambda digest, path, place: m.F.sha2(m.F.col(digest), 256))
+    got = found(table_of(spark, rows), 2)
+    assert len(got) == len(rows) and not any(r[6] or r[5] == r[3] for r in got)

@@ -55,7 +55,7 @@ def test_a_folder_that_tasks_cannot_write_is_refused(spark, on_cluster, tmp_path
 
 @pytest.mark.parametrize("name", [
     "c04_submit_orders", "j07_colocated", "q18_colocated", "r08_rollup_top_items", "r08_rollup_totals",
-    "r13_rollup_usage", "s01_order_feed", "s02_menu_feed", "s03_staged_load", "s04_table_versions",
+    "r13_rollup_usage", "s01_order_feed", "s02_menu_feed", "s03_staged_load", "s04_table_versions", "t01_order_intake",
 ])
 def test_queries_run_with_a_bare_path_on_a_cluster(spark, star_folder, on_cluster, name):  # noqa: F811
     expected = sorted(rows(QUERIES[name](spark, star_folder)), key=repr)

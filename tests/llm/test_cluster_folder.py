@@ -34,8 +34,8 @@ def plain(found):
 
 
 @pytest.mark.parametrize("name", [
-    "pipeline", "op1_warc", "op3_lm_scoring", "op6_simhash", "op8_packing", "op10_language_id", "op12_merkle",
-    "op13_resampling",
+    "pipeline", "op1_warc", "op3_lm_scoring", "op6_simhash", "op8_packing", "op10_language_id", "op11_jaccard_join",
+    "op12_merkle", "op13_resampling",
 ])
 def test_operators_run_with_a_bare_path_on_a_cluster(spark, texts_folder, tmp_path, monkeypatch, name):
     expected, get = plain(OPERATORS[name](spark, texts_folder)), RuntimeConfig.get
